@@ -347,7 +347,7 @@ def explorer(m, names):
 )
 def filtered_playoff_record(spark, sf):
     m = R.filter_matches(S.matches(spark, sf), season_from=1997, stage="playoff")
-    return out(R.team_long(m).groupBy("team").agg(R.COUNT.alias("matches"), R.count_if(F.col("won")).alias("wins")))
+    return out(R.team_long(m).groupBy("team").agg(R.count_rows().alias("matches"), R.count_if(F.col("won")).alias("wins")))
 
 
 # -- trends -----------------------------------------------------------------------------------

@@ -117,41 +117,36 @@ def primary_home(spells: DataFrame, season_year: Column | int) -> DataFrame:
 
 def with_batting_order(m: DataFrame) -> DataFrame:
     """Batting order from the toss, never from the order of the side columns."""
-    other = F.when(F.col("toss_winner") == F.col("team1"), F.col("team2")).otherwise(F.col("team1"))
-    m = m.withColumn("bat_first", F.when(F.col("toss_decision") == "bat", F.col("toss_winner")).otherwise(other))
-    return m.withColumn(
-        "chasing_team", F.when(F.col("bat_first") == F.col("team1"), F.col("team2")).otherwise(F.col("team1"))
-    ).withColumn("team1_bats_first", F.col("bat_first") == F.col("team1"))
+    first = "CASE WHEN toss_decision = 'bat' THEN toss_winner WHEN toss_winner = team1 THEN team2 ELSE team1 END"
+    return m.withColumn("bat_first", F.expr(first)).withColumns(
+        {
+            "chasing_team": F.expr("CASE WHEN bat_first = team1 THEN team2 ELSE team1 END"),
+            "team1_bats_first": F.expr("bat_first = team1"),
+        }
+    )
 
 
 def with_result(m: DataFrame) -> DataFrame:
     """Decided flag, margin, and outcomes that stay NULL unless decided."""
-    decided = F.col("result_type") == "complete"
-    kind = F.when(decided & (F.col("win_by_wickets") > 0), "wickets").when(
-        decided & (F.col("win_by_runs") > 0), "runs"
-    )
-    return (
-        m.withColumn("is_decided", decided)
-        .withColumn("margin_type", kind)
-        .withColumn(
-            "margin_value",
-            F.when(F.col("margin_type") == "runs", F.col("win_by_runs")).when(
-                F.col("margin_type") == "wickets", F.col("win_by_wickets")
-            ),
-        )
-        .withColumn("bat_first_won", F.when(decided, F.col("winner") == F.col("bat_first")))
-        .withColumn("toss_winner_won", F.when(decided, F.col("winner") == F.col("toss_winner")))
+    kind = "CASE WHEN NOT is_decided THEN NULL WHEN win_by_wickets > 0 THEN 'wickets' WHEN win_by_runs > 0 THEN 'runs' END"
+    return m.withColumn("is_decided", F.expr("result_type = 'complete'")).withColumn("margin_type", F.expr(kind)).withColumns(
+        {
+            "margin_value": F.expr("CASE margin_type WHEN 'runs' THEN win_by_runs WHEN 'wickets' THEN win_by_wickets END"),
+            "bat_first_won": F.expr("CASE WHEN is_decided THEN winner = bat_first END"),
+            "toss_winner_won": F.expr("CASE WHEN is_decided THEN winner = toss_winner END"),
+        }
     )
 
 
 def with_innings(m: DataFrame) -> DataFrame:
     """Side order → first and second innings."""
-    first = F.col("team1_bats_first")
+    pick = "CAST(CASE WHEN team1_bats_first THEN {} ELSE {} END AS double)"
+    cols = {}
     for what in ("runs", "wickets"):
-        a, b = F.col(f"team1_{what}").cast("double"), F.col(f"team2_{what}").cast("double")
-        m = m.withColumn(f"first_innings_{what}", F.when(first, a).otherwise(b))
-        m = m.withColumn(f"second_innings_{what}", F.when(first, b).otherwise(a))
-    return m
+        a, b = f"team1_{what}", f"team2_{what}"
+        cols[f"first_innings_{what}"] = F.expr(pick.format(a, b))
+        cols[f"second_innings_{what}"] = F.expr(pick.format(b, a))
+    return m.withColumns(cols)
 
 
 def _keyed(facts: DataFrame, *values: str) -> DataFrame:
@@ -195,19 +190,17 @@ def with_flag(m: DataFrame, facts: DataFrame, out: str) -> DataFrame:
     return _join_facts(m, _keyed(facts)).withColumn(out, F.col("_hit").isNotNull()).drop("_hit")
 
 
-def with_scores_usable(m: DataFrame) -> DataFrame:
-    return m.withColumn("scores_usable", ~((F.col("result_type") == "no result") | F.col("voided")))
+def scores_usable() -> Column:
+    return F.expr("NOT (result_type = 'no result' OR voided)")
 
 
 def dls_heuristic() -> Column:
     """Totals or margin kind that only a revised target can explain."""
-    t1 = F.col("winner") == F.col("team1")
-    won = F.when(t1, F.col("team1_runs")).otherwise(F.col("team2_runs"))
-    lost = F.when(t1, F.col("team2_runs")).otherwise(F.col("team1_runs"))
-    odd_margin = (F.col("bat_first_won") & (F.col("win_by_wickets") > 0)) | (
-        ~F.col("bat_first_won") & (F.col("win_by_runs") > 0)
+    return F.expr(
+        """coalesce(is_decided AND (
+             CASE WHEN winner = team1 THEN team1_runs <= team2_runs ELSE team2_runs <= team1_runs END
+             OR (bat_first_won AND win_by_wickets > 0) OR (NOT bat_first_won AND win_by_runs > 0)), false)"""
     )
-    return F.coalesce(F.col("is_decided") & ((won <= lost) | odd_margin), F.lit(False))
 
 
 # -- stages -----------------------------------------------------------------------------------

@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from contestry.functions.stats import minimum_detectable_effect, ratio, shrink, two_proportion, wilson
 from contestry.functions.tails import binom_two_sided_p, chi2_p, normal_two_sided_p
 
-COUNT = F.count(F.lit(1))
+def count_rows() -> Column:
+    return F.count(F.lit(1))
+
 
 
 def count_if(c: Column) -> Column:
@@ -40,21 +42,18 @@ def filter_matches(m: DataFrame, season_from=None, season_to=None, team=None, ve
 
 def team_long(m: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """Two rows per contest, one per side, from a single scan."""
-    usable = F.col("scores_usable") & (F.col("result_type") != "tie")
-
-    def side(me: str, other: str) -> Column:
-        return F.struct(
-            F.col(me).alias("team"), F.col(other).alias("opponent"),
-            F.col(f"{me}_home").alias("is_home"), F.col(f"{other}_home").alias("opp_home"),
-            (F.col("bat_first") == F.col(me)).alias("bats_first"),
-            F.when(F.col("is_decided"), F.col("winner") == F.col(me)).alias("won"),
-            F.when(usable, F.col(f"{me}_runs")).alias("runs_for"),
-            F.when(usable, F.col(f"{other}_runs")).alias("runs_against"),
-        )
+    usable = "scores_usable AND result_type <> 'tie'"
+
+    def side(me: str, other: str) -> str:
+        return (
+            f"struct({me} AS team, {other} AS opponent, {me}_home AS is_home, {other}_home AS opp_home, "
+            f"bat_first = {me} AS bats_first, CASE WHEN is_decided THEN winner = {me} END AS won, "
+            f"CASE WHEN {usable} THEN {me}_runs END AS runs_for, CASE WHEN {usable} THEN {other}_runs END AS runs_against)"
+        )
 
     common = ["match_id", "date", "season_year", "venue_id", "is_decided", "voided", *keep]
     common += [c for c in ("league", "stage") if c in m.columns and c not in common]
-    return m.select(*common, F.explode(F.array(side("team1", "team2"), side("team2", "team1"))).alias("s")).select(
+    return m.select(*common, F.expr(f"explode(array({side('team1', 'team2')}, {side('team2', 'team1')})) AS s")).select(
         *common, "s.*"
     )
 
@@ -63,7 +62,7 @@ def season_win_pct(m: DataFrame) -> DataFrame:
     """Per side and season, voided contests left out; NULL where nothing was decided."""
     g = team_long(m.where("NOT voided")).groupBy("season_year", "team")
     return g.agg(
-        COUNT.alias("matches"),
+        count_rows().alias("matches"),
         count_if(F.col("is_decided")).alias("decided"),
         count_if(F.col("won")).alias("wins"),
     ).withColumn("win_pct", ratio(F.col("wins"), F.col("decided")))
@@ -76,7 +75,7 @@ def team_table(m: DataFrame, min_decided: int = 5) -> DataFrame:
     eligible = F.when(F.col("decided") >= min_decided, F.col("win_pct"))
     # Ties go to the earliest season: the sort key pairs the rate with the (negated) year.
     out = seasons.groupBy("team").agg(
-        COUNT.alias("seasons"),
+        count_rows().alias("seasons"),
         F.sum("matches").alias("matches"),
         F.sum("wins").alias("wins"),
         F.sum(F.col("decided") - F.col("wins")).alias("losses"),
@@ -88,7 +87,7 @@ def team_table(m: DataFrame, min_decided: int = 5) -> DataFrame:
         m.where("is_final")
         .select(F.explode(F.array("team1", "team2")).alias("team"), "winner")
         .groupBy("team")
-        .agg(count_if(F.col("winner") == F.col("team")).alias("titles"), COUNT.alias("finals"))
+        .agg(count_if(F.col("winner") == F.col("team")).alias("titles"), count_rows().alias("finals"))
     )
     return out.join(finals, "team", "left").select(
         "team", "seasons", "matches", "wins", "losses",
@@ -103,7 +102,7 @@ def team_table(m: DataFrame, min_decided: int = 5) -> DataFrame:
 def head_to_head(m: DataFrame, min_meetings: int = 1) -> DataFrame:
     """Decided meetings per ordered pair."""
     g = team_long(m.where("is_decided")).groupBy("team", "opponent")
-    out = g.agg(COUNT.alias("meetings"), count_if(F.col("won")).alias("wins"))
+    out = g.agg(count_rows().alias("meetings"), count_if(F.col("won")).alias("wins"))
     return out.where(F.col("meetings") >= min_meetings).withColumn(
         "win_pct", ratio(F.col("wins"), F.col("meetings"))
     )
@@ -119,7 +118,7 @@ def head_to_head_matrix(m: DataFrame, opponents: Sequence, min_meetings: int = 5
 def rate_table(df: DataFrame, by: str | Sequence[str], flag: Column) -> DataFrame:
     """successes, n, rate and Wilson interval per key."""
     keys = [by] if isinstance(by, str) else list(by)
-    g = df.groupBy(*keys).agg(count_if(flag).alias("successes"), COUNT.alias("n"))
+    g = df.groupBy(*keys).agg(count_if(flag).alias("successes"), count_rows().alias("n"))
     low, high = wilson(F.col("successes"), F.col("n"))
     return g.select(
         *keys, "successes", "n", ratio(F.col("successes"), F.col("n")).alias("rate"),
@@ -146,8 +145,8 @@ def home_advantage(m: DataFrame) -> dict[str, DataFrame]:
     d = m.where("is_decided AND team1_home <> team2_home")
     host = F.when(F.col("team1_home"), F.col("team1")).otherwise(F.col("team2"))
     won = F.col("winner") == host
-    by_season = d.groupBy("season_year").agg(F.avg(won.cast("double")).alias("home_win_rate"), COUNT.alias("n"))
-    overall = d.agg(count_if(won).alias("successes"), COUNT.alias("n"))
+    by_season = d.groupBy("season_year").agg(F.avg(won.cast("double")).alias("home_win_rate"), count_rows().alias("n"))
+    overall = d.agg(count_if(won).alias("successes"), count_rows().alias("n"))
     return {"overall": binomial_columns(overall), "by_season": by_season}
 
 
@@ -168,7 +167,7 @@ def chi_square(df: DataFrame, row: str, col: str) -> DataFrame:
     The contingency cells come from one aggregate; margins and the cells that stay empty are
     derived from that table: Σ O²/E - N counts them without listing them.
     """
-    cells = df.where(F.col(row).isNotNull() & F.col(col).isNotNull()).groupBy(row, col).agg(COUNT.alias("o"))
+    cells = df.where(F.col(row).isNotNull() & F.col(col).isNotNull()).groupBy(row, col).agg(count_rows().alias("o"))
     rows = cells.groupBy(row).agg(F.sum("o").alias("r"))
     cols = cells.groupBy(col).agg(F.sum("o").alias("c"))
     g = cells.join(rows, row).join(cols, col).agg(
@@ -195,7 +194,7 @@ def toss_effect(m: DataFrame) -> dict[str, DataFrame]:
     d = with_era_label(decided(m))
     won = F.col("toss_winner_won")
     return {
-        "overall": binomial_columns(d.agg(count_if(won).alias("successes"), COUNT.alias("n"))),
+        "overall": binomial_columns(d.agg(count_if(won).alias("successes"), count_rows().alias("n"))),
         "by_decision": rate_table(d, "toss_decision", won),
         "by_era": rate_table(d, "era", won),
         "era_test": era_test(d, won),
@@ -206,7 +205,7 @@ def toss_effect(m: DataFrame) -> dict[str, DataFrame]:
 def chasing_advantage(m: DataFrame) -> dict[str, DataFrame]:
     d, won = decided(m), ~F.col("bat_first_won")
     return {
-        "overall": binomial_columns(d.agg(count_if(won).alias("successes"), COUNT.alias("n"))),
+        "overall": binomial_columns(d.agg(count_if(won).alias("successes"), count_rows().alias("n"))),
         "by_season": rate_table(d, "season_year", won),
         "era_test": era_test(d, won),
     }
@@ -242,7 +241,7 @@ def holm(df: DataFrame, p: str, tie_break: Sequence[str], out: str = "p_holm") -
 
 def toss_by_venue(m: DataFrame, min_matches: int = 20) -> DataFrame:
     """Toss-winner rate per place with exact tests, Holm-adjusted over the places that qualify."""
-    g = decided(m).groupBy("venue_id").agg(count_if(F.col("toss_winner_won")).alias("successes"), COUNT.alias("n"))
+    g = decided(m).groupBy("venue_id").agg(count_if(F.col("toss_winner_won")).alias("successes"), count_rows().alias("n"))
     t = binomial_columns(g.where(F.col("n") >= min_matches)).select(
         "venue_id", "n", "rate", "ci_low", "ci_high", "p_value"
     )
@@ -256,7 +255,7 @@ def venue_profiles(m: DataFrame, prior_strength: float = 10.0) -> DataFrame:
     extra = [F.min(c).alias(c) for c in ("venue", "city", "country") if c in m.columns]
     g = m.groupBy("venue_id").agg(
         *extra,
-        COUNT.alias("matches"),
+        count_rows().alias("matches"),
         count_if(F.col("is_decided")).alias("decided"),
         count_if(F.col("bat_first_won")).alias("bf_wins"),
         F.coalesce(F.sum(F.when(scored, F.col("first_innings_runs"))), F.lit(0.0)).alias("runs"),
@@ -288,11 +287,11 @@ def kpis(m: DataFrame) -> DataFrame:
     """Headline counts. Distinct sides and places come from their own small tables, so the fact
     scan carries no distinct expansion."""
     sides = m.select(F.explode(F.array("team1", "team2")).alias("t")).groupBy("t").agg(F.lit(1).alias("x"))
-    n_sides = sides.agg(COUNT.alias("n")).scalar()
-    n_places = m.groupBy("venue_id").agg(F.lit(1).alias("x")).agg(COUNT.alias("n")).scalar()
+    n_sides = sides.agg(count_rows().alias("n")).scalar()
+    n_places = m.groupBy("venue_id").agg(F.lit(1).alias("x")).agg(count_rows().alias("n")).scalar()
     final = F.struct("date", "match_id")
     return m.agg(
-        COUNT.alias("matches"),
+        count_rows().alias("matches"),
         count_if(F.col("is_decided")).alias("decided"),
         F.min("date").alias("first_date"),
         F.max("date").alias("last_date"),

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from contestry.functions.stats import DIFF_Z
 from contestry.functions.tails import mwu_exact_p, normal_two_sided_p, t_two_sided_p
 from contestry.operators.ordering import average_rank, rank_values
-from contestry.operators.records import COUNT, count_if
+from contestry.operators.records import count_if, count_rows
 
 SCORED = "scores_usable AND first_innings_runs IS NOT NULL"
 
@@ -20,7 +20,7 @@ def scoring_by_season(m: DataFrame) -> DataFrame:
     state is a small histogram per season however many contests a season holds."""
     x = F.col("first_innings_runs")
     return m.where(SCORED).groupBy("season_year").agg(
-        COUNT.alias("matches"),
+        count_rows().alias("matches"),
         F.avg(x).alias("mean_first_innings"),
         F.percentile(x, F.lit(0.5)).alias("median_first_innings"),
         F.avg((x >= 200).cast("double")).alias("share_200_plus"),
@@ -84,7 +84,7 @@ def margin_summary(m: DataFrame) -> DataFrame:
     small integers by contract, which bounds the percentile state."""
     x = F.col("margin_value").cast("double")
     d = m.where("is_decided AND NOT dls_flag AND margin_type IS NOT NULL").groupBy("margin_type").agg(
-        COUNT.alias("count"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("min"),
+        count_rows().alias("count"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("min"),
         F.percentile(x, F.array(*map(F.lit, (0.25, 0.5, 0.75)))).alias("q"), F.max(x).alias("max"),
     )
     return d.select(
@@ -114,7 +114,7 @@ def potm_leaderboard(m: DataFrame, players: DataFrame, top: int = 15) -> DataFra
     j = awards.join(players.select("match_id", "player", "team"), ["match_id", "player"], "left")
     # A player listed on both sides counts twice, as the left join does.
     per_team = j.groupBy("player", "team").agg(
-        COUNT.alias("c"), F.min("season_year").alias("f"), F.max("season_year").alias("l")
+        count_rows().alias("c"), F.min("season_year").alias("f"), F.max("season_year").alias("l")
     )
     counts = per_team.groupBy("player").agg(
         F.sum("c").alias("awards"), F.min("f").alias("first"), F.max("l").alias("last")
@@ -132,8 +132,8 @@ def appearances(players: DataFrame, m: DataFrame, top: int = 15) -> DataFrame:
     """Contests and seasons per player, by staged distinct aggregation, ties broken by name."""
     p = players.select("match_id", "team", "player").join(m.select("match_id", "season_year"), "match_id")
     per_match = p.groupBy("player", "match_id").agg(F.min("season_year").alias("s"))
-    per_season = per_match.groupBy("player", "s").agg(COUNT.alias("c"))
-    counts = per_season.groupBy("player").agg(F.sum("c").alias("matches"), COUNT.alias("seasons"))
+    per_season = per_match.groupBy("player", "s").agg(count_rows().alias("c"))
+    counts = per_season.groupBy("player").agg(F.sum("c").alias("matches"), count_rows().alias("seasons"))
     best = counts.orderBy(F.desc("matches"), "player").limit(top)
     teams = (
         players.join(best.select("player"), "player", "left_semi")
@@ -171,7 +171,7 @@ def squad_continuity(players: DataFrame, m: DataFrame) -> DataFrame:
     j = s.join(last, ["team", "_blk"]).withColumn("_p", F.coalesce("_prev", "_before"))
     pairs = j.where(F.col("_p.season_year") == F.col("season_year"))
     return pairs.groupBy("team", "season_year").agg(
-        F.avg(jaccard(F.col("_p.squad"), F.col("squad"))).alias("mean_jaccard"), COUNT.alias("transitions")
+        F.avg(jaccard(F.col("_p.squad"), F.col("squad"))).alias("mean_jaccard"), count_rows().alias("transitions")
     )
 
 
@@ -182,14 +182,14 @@ def officials_table(m: DataFrame, min_matches: int = 20) -> DataFrame:
     ).where(F.col("official").isNotNull())
     # (official, contest) first, with how many of the two posts the official held.
     per = long.groupBy("official", "match_id").agg(
-        F.min("season_year").alias("s"), COUNT.alias("posts"),
+        F.min("season_year").alias("s"), count_rows().alias("posts"),
         F.max(F.col("bat_first_won").cast("double")).alias("bfw"),
     )
     w = F.when(F.col("bfw").isNotNull(), F.col("posts"))
     return (
         per.groupBy("official")
         .agg(
-            COUNT.alias("matches"), F.min("s").alias("first"), F.max("s").alias("last"),
+            count_rows().alias("matches"), F.min("s").alias("first"), F.max("s").alias("last"),
             (F.sum(w * F.col("bfw")) / F.sum(w)).alias("bat_first_win_rate"),
         )
         .where(F.col("matches") >= min_matches)
@@ -214,7 +214,7 @@ def constant_columns(raw: DataFrame, expected: dict[str, str]) -> DataFrame:
 
 def season_rollup(m: DataFrame) -> DataFrame:
     return m.groupBy("season_year").agg(
-        COUNT.alias("matches"), count_if(F.col("is_decided")).alias("decided"),
+        count_rows().alias("matches"), count_if(F.col("is_decided")).alias("decided"),
         count_if(F.col("result_type") == "tie").alias("ties"),
         count_if(F.col("result_type") == "no result").alias("no_results"),
         F.min("date").alias("first_match"), F.max("date").alias("last_match"),
@@ -225,13 +225,13 @@ def season_rollup(m: DataFrame) -> DataFrame:
 def squad_size_crosstab(players: DataFrame, m: DataFrame, sizes: Sequence[int]) -> DataFrame:
     """Contests per season and first-side squad size."""
     first = m.select("match_id", F.col("team1").alias("team"), "season_year")
-    n = players.groupBy("match_id", "team").agg(COUNT.alias("size"))
+    n = players.groupBy("match_id", "team").agg(count_rows().alias("size"))
     per = first.join(n, ["match_id", "team"], "left").fillna(0, ["size"])
-    return per.groupBy("season_year").pivot("size", list(sizes)).agg(COUNT).fillna(0)
+    return per.groupBy("season_year").pivot("size", list(sizes)).agg(count_rows()).fillna(0)
 
 
 def value_counts(df: DataFrame, column: str) -> DataFrame:
-    return df.groupBy(column).agg(COUNT.alias("rows"))
+    return df.groupBy(column).agg(count_rows().alias("rows"))
 
 
 def distinct_counts(df: DataFrame, named: dict[str, Sequence[str]]) -> DataFrame:
@@ -241,7 +241,7 @@ def distinct_counts(df: DataFrame, named: dict[str, Sequence[str]]) -> DataFrame
         *[F.struct(F.lit(k).alias("name"), F.col(c).cast("string").alias("v")) for k, cs in named.items() for c in cs]
     )
     long = df.select(F.explode(entries).alias("e")).select("e.*").where(F.col("v").isNotNull())
-    return long.groupBy("name", "v").agg(F.lit(1).alias("x")).groupBy("name").agg(COUNT.alias("distinct_values"))
+    return long.groupBy("name", "v").agg(F.lit(1).alias("x")).groupBy("name").agg(count_rows().alias("distinct_values"))
 
 
 def data_dictionary(df: DataFrame) -> DataFrame:

@@ -27,92 +27,84 @@ def base_contests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     li = table(spark, sf_dir, "lineitem")
     sides = li.groupBy("l_orderkey", "l_suppkey").agg(
-        F.sum("l_quantity").cast("long").alias("runs"),
-        F.count(F.lit(1)).alias("n_lines"),
-        F.min("l_linenumber").alias("first_line"),
-        F.max(F.struct(F.col("l_extendedprice").alias("price"), (-F.col("l_partkey")).alias("neg"))).alias("best"),
+        F.expr("CAST(sum(l_quantity) AS bigint) AS runs"),
+        F.expr("count(1) AS n_lines"),
+        F.expr("min(l_linenumber) AS first_line"),
+        F.expr("max(struct(l_extendedprice, -l_partkey AS neg)) AS best"),
     )
     order = Window.partitionBy("l_orderkey").orderBy("first_line", "l_suppkey")
     ranked = sides.withColumn("side_no", F.row_number().over(order)).where("side_no <= 2")
-
-    def side(no: int, col: str):
-        return F.max(F.when(F.col("side_no") == no, F.col(col)))
-
     pairs = ranked.groupBy("l_orderkey").agg(
-        side(1, "l_suppkey").alias("team1"), side(2, "l_suppkey").alias("team2"),
-        side(1, "runs").alias("team1_runs"), side(2, "runs").alias("team2_runs"),
-        F.least(F.lit(9), side(1, "n_lines")).cast("long").alias("team1_wickets"),
-        F.least(F.lit(9), side(2, "n_lines")).cast("long").alias("team2_wickets"),
-        (-F.max("best")["neg"]).alias("best_part"),
-    ).where(F.col("team2").isNotNull())
-
-    sup = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
-    s1 = sup.select(F.col("s_suppkey").alias("team1"), F.col("s_nationkey").alias("n1"))
-    s2 = sup.select(F.col("s_suppkey").alias("team2"), F.col("s_nationkey").alias("n2"))
-    places = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey").join(
-        table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey")
-    )
-    o = table(spark, sf_dir, "orders")
+        *[
+            F.expr(f"max(CASE WHEN side_no = {i} THEN {c} END) AS {name}")
+            for i in (1, 2)
+            for c, name in (
+                ("l_suppkey", f"team{i}"), ("runs", f"team{i}_runs"),
+                ("CAST(least(9, n_lines) AS bigint)", f"team{i}_wickets"),
+            )
+        ],
+        F.expr("-max(best).neg AS best_part"),
+    ).where("team2 IS NOT NULL")
+
+    sup = table(spark, sf_dir, "supplier")
+    places = table(spark, sf_dir, "customer").join(
+        table(spark, sf_dir, "nation"), F.expr("c_nationkey = n_nationkey")
+    ).select("c_custkey", "c_nationkey", "n_name", "n_regionkey")
     m = (
-        o.join(pairs, o.o_orderkey == pairs.l_orderkey)
-        .join(places, F.col("o_custkey") == F.col("c_custkey"))
-        .join(s1, "team1")
-        .join(s2, "team2")
+        table(spark, sf_dir, "orders")
+        .join(pairs, F.expr("o_orderkey = l_orderkey"))
+        .join(places, F.expr("o_custkey = c_custkey"))
+        .join(sup.selectExpr("s_suppkey AS team1", "s_nationkey AS n1"), "team1")
+        .join(sup.selectExpr("s_suppkey AS team2", "s_nationkey AS n2"), "team2")
     )
-    no_result = (F.col("o_orderstatus") == "P") & (F.col("o_orderkey") % 25 == 0)
-    m = m.select(
-        F.col("o_orderkey").alias("match_id"),
-        F.to_date("o_orderdate").alias("date"),
-        F.year("o_orderdate").cast("long").alias("season_year"),
-        F.col("n_regionkey").cast("long").alias("league"),
-        F.col("c_nationkey").cast("long").alias("venue_id"),
-        F.col("n_name").alias("venue"),
+    no_result = "(o_orderstatus = 'P' AND o_orderkey % 25 = 0)"
+    m = m.selectExpr(
+        "o_orderkey AS match_id",
+        "to_date(o_orderdate) AS date",
+        "date_format(o_orderdate, 'dd-MM-yyyy') AS date_raw",
+        "unix_date(to_date(o_orderdate)) AS day",
+        "CAST(year(o_orderdate) AS bigint) AS season_year",
+        "CAST(n_regionkey AS bigint) AS league",
+        "CAST(c_nationkey AS bigint) AS venue_id",
+        "n_name AS venue",
         "team1", "team2", "team1_runs", "team2_runs", "team1_wickets", "team2_wickets",
-        F.when(F.col("o_orderkey") % 2 == 0, F.col("team1")).otherwise(F.col("team2")).alias("toss_winner"),
-        F.when(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH"), "bat").otherwise("field").alias("toss_decision"),
-        F.when(no_result, "no result")
-        .when(F.col("team1_runs") == F.col("team2_runs"), "tie")
-        .otherwise("complete").alias("result_type"),
-        (F.col("n1") == F.col("c_nationkey")).alias("team1_home"),
-        (F.col("n2") == F.col("c_nationkey")).alias("team2_home"),
-        F.when(~no_result, F.col("best_part")).alias("player_of_match"),
-        F.col("o_custkey").alias("umpire1"),
-        (F.col("o_orderkey") % 40).alias("umpire2"),
+        "CASE WHEN o_orderkey % 2 = 0 THEN team1 ELSE team2 END AS toss_winner",
+        "CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 'bat' ELSE 'field' END AS toss_decision",
+        f"CASE WHEN {no_result} THEN 'no result' WHEN team1_runs = team2_runs THEN 'tie' ELSE 'complete' END AS result_type",
+        "n1 = c_nationkey AS team1_home",
+        "n2 = c_nationkey AS team2_home",
+        f"CASE WHEN NOT {no_result} THEN best_part END AS player_of_match",
+        "o_custkey AS umpire1",
+        "o_orderkey % 40 AS umpire2",
+        f"CASE WHEN NOT {no_result} AND team1_runs > team2_runs THEN team1"
+        f" WHEN NOT {no_result} AND team1_runs < team2_runs THEN team2 END AS winner",
     )
-    m = m.withColumn("date_raw", F.date_format("date", "dd-MM-yyyy")).withColumn("day", F.unix_date("date"))
-    decided = F.col("result_type") == "complete"
-    m = m.withColumn(
-        "winner",
-        F.when(decided, F.when(F.col("team1_runs") > F.col("team2_runs"), F.col("team1")).otherwise(F.col("team2"))),
-    )
     m = C.with_batting_order(m)
     # Every 41st result carries the other kind of margin, as a revised target would.
-    by_runs = (F.col("winner") == F.col("bat_first")) != (F.col("match_id") % 41 == 0)
-    runs = F.abs(F.col("team1_runs") - F.col("team2_runs"))
-    wickets = 10 - F.when(F.col("winner") == F.col("team1"), F.col("team1_wickets")).otherwise(F.col("team2_wickets"))
-    return m.withColumn("win_by_runs", F.when(decided & by_runs, runs).otherwise(F.lit(0)).cast("long")).withColumn(
-        "win_by_wickets", F.when(decided & ~by_runs, wickets).otherwise(F.lit(0)).cast("long")
+    by_runs = "((winner = bat_first) <> (match_id % 41 = 0))"
+    wickets = "10 - CASE WHEN winner = team1 THEN team1_wickets ELSE team2_wickets END"
+    return m.withColumns(
+        {
+            "win_by_runs": F.expr(f"CASE WHEN winner IS NOT NULL AND {by_runs} THEN abs(team1_runs - team2_runs) ELSE 0L END"),
+            "win_by_wickets": F.expr(f"CASE WHEN winner IS NOT NULL AND NOT {by_runs} THEN {wickets} ELSE 0L END"),
+        }
     )
 
 
 def facts(m: DataFrame) -> dict[str, DataFrame]:
     """External fact tables in the shape of the verified lists, keyed by date and pair."""
-    key = ["date_raw", F.col("team1").alias("team_a"), F.col("team2").alias("team_b")]
+    key = ["date_raw", "team1 AS team_a", "team2 AS team_b"]
     return {
-        "super_overs": m.where("result_type = 'tie'").select(
-            *key, super_over_winner().alias("super_over_winner"), tied_score().alias("regulation_score_tied")
+        "super_overs": m.where("result_type = 'tie'").selectExpr(
+            *key, f"{SUPER_OVER_WINNER} AS super_over_winner", f"{TIED_SCORE} AS regulation_score_tied"
         ),
-        "dls": m.where("match_id % 97 = 0").select(*key),
-        "voided": m.where("result_type = 'no result' AND match_id % 50 = 0").select(*key),
+        "dls": m.where("match_id % 97 = 0").selectExpr(*key),
+        "voided": m.where("result_type = 'no result' AND match_id % 50 = 0").selectExpr(*key),
     }
 
 
-def super_over_winner():
-    return F.when(F.col("match_id") % 2 == 0, F.col("team1")).otherwise(F.col("team2"))
-
-
-def tied_score():
-    return (F.col("team1_runs") - F.col("match_id") % 3).cast("double")
+SUPER_OVER_WINNER = "CASE WHEN match_id % 2 = 0 THEN team1 ELSE team2 END"
+TIED_SCORE = "CAST(team1_runs - match_id % 3 AS double)"
 
 
 def with_match_number(m: DataFrame) -> DataFrame:
@@ -134,19 +126,19 @@ def with_match_number(m: DataFrame) -> DataFrame:
 
 def matches(spark: SparkSession, sf_dir: str, stages: bool = True) -> DataFrame:
     """The canonical contest table. ``stages=False`` skips the playoff ranking where unused."""
-    m = base_contests(spark, sf_dir)
-    m = C.with_result(m)
-    m = C.with_innings(m)
-    tie = F.col("result_type") == "tie"
-    for c in ("first_innings_runs", "second_innings_runs"):
-        m = m.withColumn(c, F.when(tie, tied_score()).otherwise(F.col(c)))
-    m = m.withColumn("super_over_winner", F.when(tie, super_over_winner()))
-    m = m.withColumn("voided", (F.col("result_type") == "no result") & (F.col("match_id") % 50 == 0))
-    m = C.with_scores_usable(m)
-    m = m.withColumn("dls_heuristic", C.dls_heuristic())
-    m = m.withColumn("dls_external", F.col("match_id") % 97 == 0)
-    m = m.withColumn("dls_flag", F.col("dls_heuristic") | F.col("dls_external"))
-    m = C.with_era(m, ERA_FROM)
+    m = C.with_innings(C.with_result(base_contests(spark, sf_dir)))
+    tied = "CASE WHEN result_type = 'tie' THEN {} ELSE {} END"
+    m = m.withColumns(
+        {c: F.expr(tied.format(TIED_SCORE, c)) for c in ("first_innings_runs", "second_innings_runs")}
+        | {
+            "super_over_winner": F.expr(tied.format(SUPER_OVER_WINNER, "NULL")),
+            "voided": F.expr("result_type = 'no result' AND match_id % 50 = 0"),
+            "dls_heuristic": C.dls_heuristic(),
+            "dls_external": F.expr("match_id % 97 = 0"),
+            "impact_era": F.expr(f"season_year >= {ERA_FROM}"),
+        }
+    )
+    m = m.withColumns({"scores_usable": C.scores_usable(), "dls_flag": F.expr("dls_heuristic OR dls_external")})
     if stages:
         m = C.with_stage(with_match_number(m), ["league", "season_year"], special=None)
         m = C.with_champion(m, ["league", "season_year"])
