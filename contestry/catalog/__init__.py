@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-_MODULES = ("records",)
+_MODULES = ("records", "features")
 
 
 def _merged(attr: str) -> dict:

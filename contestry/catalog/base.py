@@ -98,7 +98,7 @@ players AS (SELECT match_id, team, player,
 
 def sql(body: str, *ctes: str) -> str:
     """WITH the contest table and the named CTEs, then ``body``."""
-    return "WITH " + ",".join([CONTESTS, *ctes]) + "\n" + body
+    return "WITH RECURSIVE " + ",".join([CONTESTS, *ctes]) + "\n" + body
 
 
 def q6(e: str, digits: int = 6) -> str:

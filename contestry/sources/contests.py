@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from contestry.operators import cleaning as C
+from contestry.session import Stage
 
 ERA_FROM = 1999
 PLAYOFFS = 4
@@ -145,6 +146,23 @@ def matches(spark: SparkSession, sf_dir: str, stages: bool = True) -> DataFrame:
     return m
 
 
+_STORED: dict[tuple[str, str], dict[str, DataFrame]] = {}
+
+
+def stored(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """Canonical tables written once per application and read back: ``matches`` and ``players``.
+
+    The as-of and model operators pass over them many times; a written table gives each pass its
+    own pruned scan and real statistics, and cuts the lineage.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _STORED:
+        stage = Stage(spark, "canonical")
+        m = stage.write(matches(spark, sf_dir), "matches")
+        _STORED[key] = {"matches": m, "players": stage.write(squads(spark, sf_dir, m), "players")}
+    return _STORED[key]
+
+
 def squads(spark: SparkSession, sf_dir: str, m: DataFrame | None = None) -> DataFrame:
     """(match_id, team, player, slot_no): the distinct parts each side brings to a contest."""
     li = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_suppkey", "l_partkey").agg(F.lit(1).alias("x"))
