@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-_MODULES = ("records", "features")
+_MODULES = ("records", "features", "evaluation")
 
 
 def _merged(attr: str) -> dict:

@@ -75,33 +75,34 @@ def average_rank(n: str = "n") -> Column:
     return F.col(f"{n}_before") + (F.col(n) + 1) / 2
 
 
-def exact_quantiles(df: DataFrame, value: str, qs: Sequence[float], group: Sequence[str] = ()) -> DataFrame:
-    """Linearly interpolated quantiles, exact at any size: (group, q, quantile)."""
-    ranked = rank_values(df, value, group=group)
+def weighted_quantiles(ranked: DataFrame, value: str, qs: Sequence[float], group: Sequence[str] = (), n: str = "n"):
+    """Linearly interpolated quantiles of the rows counted by ``n`` in a ``cumulate`` result."""
+    total, before, count = F.col(f"{n}_total"), F.col(f"{n}_before"), F.col(n)
     asks = F.array(
         *[
             F.struct(
                 F.lit(float(q)).alias("q"),
-                F.floor((F.col("n_total") - 1) * F.lit(float(q)) + off).alias("pos"),
-                F.lit(side).alias("side"),
+                F.least(F.floor((total - 1) * F.lit(float(q))) + step, total - 1).alias("pos"),
+                F.lit(step).alias("step"),
             )
             for q in qs
-            for side, off in ((0, 0), (1, 1))
+            for step in (0, 1)
         ]
     )
-    mine = F.filter(
-        asks,
-        lambda s: (F.least(s["pos"], F.col("n_total") - 1) >= F.col("n_before"))
-        & (F.least(s["pos"], F.col("n_total") - 1) < F.col("n_before") + F.col("n")),
-    )
-    hits = ranked.select(*group, value, "n_total", F.explode(mine).alias("s"))
+    mine = F.filter(asks, lambda s: (s["pos"] >= before) & (s["pos"] < before + count))
+    hits = ranked.where(count > 0).select(*group, value, total.alias("_t"), F.explode(mine).alias("s"))
     out = hits.groupBy(*group, F.col("s.q").alias("q")).agg(
-        F.max(F.when(F.col("s.side") == 0, F.col(value).cast("double"))).alias("_lo"),
-        F.max(F.when(F.col("s.side") == 1, F.col(value).cast("double"))).alias("_hi"),
-        F.max("n_total").alias("_n"),
+        F.max(F.when(F.col("s.step") == 0, F.col(value).cast("double"))).alias("_lo"),
+        F.max(F.when(F.col("s.step") == 1, F.col(value).cast("double"))).alias("_hi"),
+        F.max("_t").alias("_t"),
     )
-    frac = (F.col("_n") - 1) * F.col("q") - F.floor((F.col("_n") - 1) * F.col("q"))
-    return out.select(*group, "q", (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * frac).alias("quantile"))
+    at = (F.col("_t") - 1) * F.col("q")
+    return out.select(*group, "q", (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * (at - F.floor(at))).alias("quantile"))
+
+
+def exact_quantiles(df: DataFrame, value: str, qs: Sequence[float], group: Sequence[str] = ()) -> DataFrame:
+    """Quantiles of the rows of each group, exact at any size: (group, q, quantile)."""
+    return weighted_quantiles(rank_values(df, value, group=group), value, qs, group)
 
 
 def dense_sequence(df: DataFrame, major: str, minor: Sequence[str], out: str, group: Sequence[str] = ()) -> DataFrame:

@@ -163,6 +163,17 @@ def stored(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     return _STORED[key]
 
 
+def stored_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The feature table without ratings, written once per application."""
+    from contestry.operators.asof import pair_features
+
+    tables = stored(spark, sf_dir)
+    if "features" not in tables:
+        f = pair_features(tables["matches"], tables["players"])
+        tables["features"] = Stage(spark, "features").write(f, "features")
+    return tables["features"]
+
+
 def squads(spark: SparkSession, sf_dir: str, m: DataFrame | None = None) -> DataFrame:
     """(match_id, team, player, slot_no): the distinct parts each side brings to a contest."""
     li = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_suppkey", "l_partkey").agg(F.lit(1).alias("x"))
