@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-_MODULES = ("records", "features", "evaluation")
+_MODULES = ("records", "features", "evaluation", "ingest")
 
 
 def _merged(attr: str) -> dict:

@@ -17,8 +17,10 @@ BUCKETS = 256
 _COARSE = 16
 
 
-def _bucket(value: Column, cuts: Column) -> Column:
-    """Number of cuts below ``value``, found in two levels of sixteen."""
+def _bucket(value: Column, cuts: Column, buckets: int) -> Column:
+    """Number of cuts below ``value``; many cuts are searched in two levels."""
+    if buckets <= _COARSE:
+        return F.size(F.filter(cuts, lambda c: c < value)).cast("int")
     coarse = F.size(
         F.filter(
             F.transform(F.sequence(F.lit(1), F.lit(_COARSE)), lambda i: F.get(cuts, i * _COARSE - 1)),
@@ -29,23 +31,23 @@ def _bucket(value: Column, cuts: Column) -> Column:
     return (coarse * _COARSE + fine).cast("int")
 
 
-def _with_bucket(per: DataFrame, value: str, group: Sequence[str]) -> DataFrame:
-    qs = F.array(*[F.lit(i / BUCKETS) for i in range(1, BUCKETS)])
-    cut = F.percentile_approx(value, qs, F.lit(4 * BUCKETS)).alias("_cuts")
+def _with_bucket(per: DataFrame, value: str, group: Sequence[str], buckets: int = BUCKETS) -> DataFrame:
+    qs = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
+    cut = F.percentile_approx(value, qs, F.lit(4 * buckets)).alias("_cuts")
     if group:
-        cuts = per.groupBy(*group).agg(cut)
-        return per.join(cuts, list(group)).withColumn("_b", _bucket(F.col(value), F.col("_cuts"))).drop("_cuts")
-    cuts = per.withColumn("_cuts", per.agg(cut).scalar())
-    return cuts.withColumn("_b", _bucket(F.col(value), F.col("_cuts"))).drop("_cuts")
+        cuts = per.join(per.groupBy(*group).agg(cut), list(group))
+    else:
+        cuts = per.withColumn("_cuts", per.agg(cut).scalar())
+    return cuts.withColumn("_b", _bucket(F.col(value), F.col("_cuts"), buckets)).drop("_cuts")
 
 
-def cumulate(per: DataFrame, value: str, amounts: Sequence[str], group: Sequence[str] = ()) -> DataFrame:
+def cumulate(per: DataFrame, value: str, amounts: Sequence[str], group: Sequence[str] = (), buckets: int = BUCKETS):
     """Add ``<amount>_before`` = sum over smaller values of the group, and ``<amount>_total``.
 
-    ``per`` holds one row per (group, value).
+    ``per`` holds one row per (group, value). Many groups need fewer buckets each.
     """
     group = list(group)
-    b = _with_bucket(per, value, group)
+    b = _with_bucket(per, value, group, buckets)
     totals = b.groupBy(*group, "_b").agg(*[F.sum(a).alias(f"_{a}") for a in amounts])
     run = Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0))
     before = run.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
