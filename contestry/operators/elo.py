@@ -178,7 +178,33 @@ def solve(m: DataFrame, params: Sequence[EloParams] = (EloParams(),), tol: float
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out.select("cand", "league", "team", "day", "rating"), games
+    return out.select("cand", "league", "team", "day", "sidx", "d", "rating"), games
+
+
+def rating_as_of(m: DataFrame, games: DataFrame, ratings: DataFrame, asks: DataFrame) -> DataFrame:
+    """(league, team, day, rating) for fixtures, from history strictly before each fixture's day.
+
+    ``ratings`` holds one candidate. Every fixture stands alone: it moves back to the mean for the
+    season changes that history shows before its day, and once more if its own season is new.
+    """
+    p = games.select("initial", "decay").first()  # two numbers
+    sides = asks.select("league", "day", "season_year", F.explode(F.array("team1", "team2")).alias("team")).distinct()
+    after = ratings.select("league", "team", "day", F.struct("sidx", (F.col("rating") + F.col("d")).alias("post")).alias("_s"))
+    spine = after.unionByName(sides.select("league", "team", "day"), allowMissingColumns=True)
+    spine = spine.groupBy("league", "team", "day").agg(F.max("_s").alias("_s"))
+    before = Window.partitionBy("league", "team").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
+    last = spine.select("league", "team", "day", F.last("_s", ignorenulls=True).over(before).alias("s"))
+    seen = m.join(season_index(m), ["league", "season_year"]).groupBy("league", "day").agg(F.max(F.struct("sidx", "season_year")).alias("_l"))
+    days = seen.unionByName(asks.select("league", "day").distinct(), allowMissingColumns=True)
+    days = days.groupBy("league", "day").agg(F.max("_l").alias("_l"))
+    lw = Window.partitionBy("league").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
+    days = days.select("league", "day", F.last("_l", ignorenulls=True).over(lw).alias("l"))
+    x = sides.join(last, ["league", "team", "day"]).join(days, ["league", "day"])
+    steps = F.col("l.sidx") - F.col("s.sidx") + F.when(F.col("l.season_year") == F.col("season_year"), 0).otherwise(1)
+    rating = F.when(F.col("s").isNull(), F.lit(p.initial)).otherwise(
+        F.lit(p.initial) + F.pow(F.lit(p.decay), steps) * (F.col("s.post") - F.lit(p.initial))
+    )
+    return x.select("league", "team", "day", rating.alias("rating"))
 
 
 def history(games: DataFrame, ratings: DataFrame) -> DataFrame:

@@ -174,6 +174,28 @@ def stored_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables["features"]
 
 
+def stored_ratings(spark: SparkSession, sf_dir: str):
+    """(ratings, games) under the default parameters, solved once per application."""
+    from contestry.operators.elo import solve
+
+    tables = stored(spark, sf_dir)
+    if "ratings" not in tables:
+        tables["ratings"], tables["games"] = solve(tables["matches"])
+    return tables["ratings"], tables["games"]
+
+
+def stored_rated_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All features of decided contests, ratings included."""
+    from contestry.operators.asof import pair_features
+
+    tables = stored(spark, sf_dir)
+    if "rated_features" not in tables:
+        ratings, _ = stored_ratings(spark, sf_dir)
+        f = pair_features(tables["matches"], tables["players"], ratings).where("is_decided")
+        tables["rated_features"] = Stage(spark, "features").write(f, "rated")
+    return tables["rated_features"]
+
+
 def squads(spark: SparkSession, sf_dir: str, m: DataFrame | None = None) -> DataFrame:
     """(match_id, team, player, slot_no): the distinct parts each side brings to a contest."""
     li = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_suppkey", "l_partkey").agg(F.lit(1).alias("x"))
