@@ -118,7 +118,7 @@ def rejection_histogram(spark, sf):
 @query(
     "valid_typed_rows",
     sql(
-        f"""SELECT match_id, {_LABEL} AS season, CASE WHEN NOT is_playoff THEN CAST(match_id AS DOUBLE) END AS match_number, date_raw AS date, team1_runs, team1_wickets,
+        f"""SELECT match_id, {_LABEL} AS season, CASE WHEN NOT is_playoff THEN CAST(match_id AS DOUBLE) END AS match_number, date_raw AS date, team1_runs, CASE WHEN {_C[107]} THEN 11 ELSE team1_wickets END AS team1_wickets,
         team2_runs, team2_wickets, win_by_runs, win_by_wickets, result_type, CAST(20 AS BIGINT) AS overs_limit, CAST(NULL AS VARCHAR) AS match_referee
         FROM cr WHERE len(reasons) = 0""",
         CHECKED,
@@ -275,9 +275,12 @@ def split_squad_lists(spark, sf):
     return out(S.table(spark, sf, "documents").select("doc_id", F.size(split_names(F.col("text"))).alias("parts")))
 
 
-@query("duplicate_players", "SELECT DISTINCT match_id, team, player FROM (SELECT l_orderkey AS match_id, l_suppkey AS team, l_partkey AS player FROM lineitem GROUP BY 1, 2, 3 HAVING count(*) > 1)")
+@query(
+    "duplicate_players",
+    "SELECT l_orderkey AS match_id, l_suppkey % 2 AS team, l_partkey % 7 AS player FROM lineitem GROUP BY 1, 2, 3 HAVING count(*) > 1",
+)
 def duplicate_players(spark, sf):
-    li = S.table(spark, sf, "lineitem").selectExpr("l_orderkey AS match_id", "l_suppkey AS team", "l_partkey AS player")
+    li = S.table(spark, sf, "lineitem").selectExpr("l_orderkey AS match_id", "l_suppkey % 2 AS team", "l_partkey % 7 AS player")
     return out(C.duplicate_players(li))
 
 

@@ -7,7 +7,7 @@ from dataclasses import asdict
 from pyspark.sql import functions as F
 
 from contestry.catalog.base import LONG, out, q6, sql
-from contestry.catalog.features import PF_CTES, fsql
+from contestry.catalog.features import COIN, ELO, EVENTS, FORM, PF_CTES, PRIOR, VENUE, fsql
 from contestry.operators import cleaning as C
 from contestry.operators import elo as E
 from contestry.operators import learn as L
@@ -75,10 +75,10 @@ def walk_forward_trees(spark, sf):
     runs = [
         ("random_forest", {"min_leaf": 25, "max_features": 0.3, "trees": 20}),
         ("hist_gb", {"max_depth": 2, "learning_rate": 0.05, "iters": 10}),
-        ("blend", {"C": 0.03, "max_depth": 2, "learning_rate": 0.05, "weight": 0.5}),
+        ("blend", {"C": 0.03, "max_depth": 2, "learning_rate": 0.05, "iters": 10, "weight": 0.5}),
     ]
     u = None
-    for name, p in runs[:2]:
+    for name, p in runs:
         o = L.walk_forward(dev, name, p, last, "post_toss")
         u = o if u is None else u.unionByName(o)
     return out(L.oof_losses(u))
@@ -137,13 +137,38 @@ def rating_search(spark, sf):
     return out(t, "cand", "k", "home_bonus", "season_regression", "use_margin", "mean_log_loss")
 
 
-@query("rating_history")
+_RATED = """
+ra AS (SELECT m.*, a.pre AS r1, b.pre AS r2, 30.0e0*(CAST(team1_home AS INT)-CAST(team2_home AS INT)) AS h,
+         CASE WHEN result_type='tie' THEN 0.5e0 WHEN winner=team1 THEN 1.0e0 ELSE 0.0e0 END AS score,
+         CASE WHEN is_decided AND NOT dls_flag THEN CASE margin_type WHEN 'runs' THEN margin_value/10.0e0 ELSE margin_value/2.0e0 END END AS units
+       FROM m JOIN days ON days.day=m.day JOIN elo a ON a.league=m.league AND a.t=days.t AND a.team=team1
+       JOIN elo b ON b.league=m.league AND b.t=days.t AND b.team=team2)"""
+_DELTA = """(20*(CASE WHEN units>0 THEN ln(units+1)*2.2e0/(0.001e0*(CASE WHEN score=1 THEN r1-r2 ELSE r2-r1 END)+2.2e0) ELSE 1 END)
+  *(score-1/(1+pow(10.0e0, -(r1-r2+h)/400.0e0))))"""
+
+
+@query(
+    "rating_history",
+    sql(
+        f"""SELECT match_id, league, team1 AS team, season_year, {q6('r1', 4)} AS rating_before, {q6(_DELTA, 4)} AS delta FROM ra WHERE result_type <> 'no result'
+        UNION ALL SELECT match_id, league, team2, season_year, {q6('r2', 4)}, {q6('(-' + _DELTA + ')', 4)} FROM ra WHERE result_type <> 'no result'""",
+        ELO, _RATED,
+    ),
+)
 def rating_history(spark, sf):
     ratings, games = S.stored_ratings(spark, sf)
     return out(E.history(games, ratings), "match_id", "league", "team", "season_year", "rating_before", "delta", digits=4)
 
 
-@query("rated_pair_features")
+@query(
+    "rated_pair_features",
+    sql(
+        f"""SELECT ra.match_id, CASE WHEN flip THEN team2 ELSE team1 END AS team_a, CASE WHEN flip THEN team1 ELSE team2 END AS team_b,
+        {q6('(CASE WHEN flip THEN r2-r1 ELSE r1-r2 END)', 4)} AS elo_diff, {q6('(CASE WHEN flip THEN -h ELSE h END/30)', 4)} AS home_diff
+        FROM ra JOIN coin ON coin.match_id = ra.match_id WHERE is_decided""",
+        ELO, _RATED, COIN,
+    ),
+)
 def rated_pair_features(spark, sf):
     return out(_feats(spark, sf), "match_id", "team_a", "team_b", "elo_diff", "home_diff", digits=4)
 
@@ -156,7 +181,26 @@ def _score(spark, sf):
     return _memo(spark, sf, "score", build)
 
 
-@query("score_frame")
+_RECENT = f"""
+lq AS (SELECT match_id, league, x, count(x) OVER (PARTITION BY league ORDER BY day, match_id ROWS UNBOUNDED PRECEDING) AS u,
+         sum(x) OVER (PARTITION BY league ORDER BY day, match_id ROWS UNBOUNDED PRECEDING) AS s, count(x) OVER (PARTITION BY league ORDER BY day {PRIOR}) AS k
+       FROM (SELECT *, CASE WHEN scores_usable THEN first_innings_runs END AS x FROM m)),
+lu AS (SELECT league, u, max(s) AS s FROM lq WHERE x IS NOT NULL GROUP BY 1, 2),
+lr AS (SELECT lq.match_id, (c.s-coalesce(d.s,0))/least(k,74) AS recent FROM lq LEFT JOIN lu c ON c.league=lq.league AND c.u=k LEFT JOIN lu d ON d.league=lq.league AND d.u=k-74)"""
+
+
+@query(
+    "score_frame",
+    fsql(
+        f"""SELECT ra.match_id, ra.season_year, {q6('venue_first_innings', 4)} AS venue_first_innings, {q6('coalesce(recent, venue_first_innings)', 4)} AS league_recent_first_innings,
+        {q6('fa.runs_for10', 4)} AS bat_runs_for10, {q6('fb.runs_against10', 4)} AS bowl_runs_against10,
+        {q6('(CASE WHEN team1_bats_first THEN r1-r2 ELSE r2-r1 END)', 4)} AS elo_gap_bat_minus_bowl, CAST(impact_era AS DOUBLE) AS impact_era,
+        CAST(is_playoff AS DOUBLE) AS is_playoff, {q6('first_innings_runs', 4)} AS target
+        FROM ra JOIN form fa ON fa.match_id=ra.match_id AND fa.team=bat_first JOIN form fb ON fb.match_id=ra.match_id AND fb.team=chasing_team
+        JOIN vs ON vs.match_id=ra.match_id JOIN lr ON lr.match_id=ra.match_id WHERE scores_usable""",
+        ELO, _RATED, LONG, EVENTS, FORM, VENUE, _RECENT,
+    ),
+)
 def score_frame_query(spark, sf):
     return out(_score(spark, sf), digits=4)
 

@@ -19,7 +19,7 @@ import itertools
 from collections.abc import Sequence
 from dataclasses import asdict, dataclass
 
-from pyspark.sql import DataFrame, Observation, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from contestry.session import Stage
@@ -114,8 +114,11 @@ def _round(games: DataFrame, ratings: DataFrame | None, carry: DataFrame | None,
             "cand", "league", "day", "sidx", "initial", "decay",
             "explode(array(struct(team1 AS team, delta AS d, r1 AS r), struct(team2 AS team, -delta AS d, r2 AS r))) AS s",
         )
-        .groupBy("cand", "league", "s.team", "day", "sidx", "initial", "decay")
-        .agg(F.sum("s.d").alias("d"), F.max("s.r").alias("prev"))
+        .groupBy("cand", "league", "s.team", "day")
+        .agg(
+            F.sum("s.d").alias("d"), F.max("s.r").alias("prev"),
+            *[F.max(c).alias(c) for c in ("sidx", "initial", "decay")],
+        )
     )
     before = Window.partitionBy(*keys).orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
     moved = F.coalesce(F.sum(F.col("d") * F.pow("decay", -(F.col("sidx") - s0))).over(before), F.lit(0.0))
@@ -162,13 +165,10 @@ def solve(m: DataFrame, params: Sequence[EloParams] = (EloParams(),), tol: float
         block = games.where((F.col("sidx") >= s0) & (F.col("sidx") < s1))
         ratings = None
         for i in range(max_rounds):
-            seen = Observation(f"ratings-{s0}-{i}")
-            step = _round(block, ratings, carry, s0).observe(
-                seen, F.max(F.abs(F.col("rating") - F.col("prev"))).alias("moved")
-            )
             # Two slots in turn: a round reads the one that the previous round wrote.
-            ratings = stage.write(step, f"block{s0}-{i % 2}")
-            if (seen.get["moved"] or 0.0) <= tol:
+            ratings = stage.write(_round(block, ratings, carry, s0), f"block{s0}-{i % 2}")
+            moved = ratings.agg(F.max(F.abs(F.col("rating") - F.col("prev")))).first()[0]  # one number
+            if (moved or 0.0) <= tol:
                 break
         else:
             raise RuntimeError("ratings did not settle")
