@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from contestry.functions.text import null_tokens_to_null
+from contestry.session import Stage
 
 # The raw file's columns and the texts it must carry.
 RAW_COLUMNS = (
@@ -141,8 +142,13 @@ def split(checked: DataFrame, carry: Sequence[str] = ()) -> tuple[DataFrame, Dat
 
 
 def validate(raw: DataFrame, contract: Contract = Contract(), mode: str = "lenient", carry: Sequence[str] = (), show: int = 5):
-    """Lenient mode splits; strict mode raises with the first rejected rows."""
-    valid, bad = split(with_reasons(raw, contract, carry), carry)
+    """Lenient mode splits; strict mode raises with the first rejected rows.
+
+    The checked rows are written once: both outputs filter a stored column, where a filter pushed
+    into the rule expressions would evaluate all of them several times.
+    """
+    checked = Stage(raw.sparkSession, "checked").write(with_reasons(raw, contract, carry), "rows")
+    valid, bad = split(checked, carry)
     if mode == "strict":
         first = bad.select(*carry, "reason").limit(show).collect()  # at most ``show`` rows
         if first:

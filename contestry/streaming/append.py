@@ -8,6 +8,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from contestry.operators.append import process_append
 from contestry.operators.validate import RAW_COLUMNS, Contract, split, with_reasons
+from contestry.session import Stage
 from contestry.sources.files import write_quarantine
 
 
@@ -30,7 +31,7 @@ def append_stream(spark: SparkSession, folder: str, base: str, checkpoint: str,
     def handle(batch: DataFrame, batch_id: int) -> None:
         rows = batch
         if quarantine is not None:
-            checked = with_reasons(batch, contract)
+            checked = Stage(batch.sparkSession, "batch").write(with_reasons(batch, contract), "rows")
             write_quarantine(split(checked)[1], f"{quarantine}/batch={batch_id}")
             rows = checked.where("size(reasons) = 0").select(*RAW_COLUMNS)
         process_append(batch.sparkSession, base, rows, contract, dry_run=False, clean=clean)
