@@ -167,12 +167,14 @@ def chi_square(df: DataFrame, row: str, col: str) -> DataFrame:
     The contingency cells come from one aggregate; margins and the cells that stay empty are
     derived from that table: Σ O²/E - N counts them without listing them.
     """
-    cells = df.where(F.col(row).isNotNull() & F.col(col).isNotNull()).groupBy(row, col).agg(count_rows().alias("o"))
-    rows = cells.groupBy(row).agg(F.sum("o").alias("r"))
-    cols = cells.groupBy(col).agg(F.sum("o").alias("c"))
-    g = cells.join(rows, row).join(cols, col).agg(
-        F.sum(F.col("o") * F.col("o") / (F.col("r") * F.col("c"))).alias("phi"),
-        F.sum("o").alias("n"), F.count_distinct(row).alias("nr"), F.count_distinct(col).alias("nc"),
+    cells = df.where(F.col(row).isNotNull() & F.col(col).isNotNull()).groupBy(
+        F.col(row).alias("_rk"), F.col(col).alias("_ck")
+    ).agg(count_rows().alias("_o"))
+    rows = cells.groupBy("_rk").agg(F.sum("_o").alias("_r"))
+    cols = cells.groupBy("_ck").agg(F.sum("_o").alias("_c"))
+    g = cells.join(rows, "_rk").join(cols, "_ck").agg(
+        F.sum(F.col("_o") * F.col("_o") / (F.col("_r") * F.col("_c"))).alias("phi"),
+        F.sum("_o").alias("n"), F.count_distinct("_rk").alias("nr"), F.count_distinct("_ck").alias("nc"),
     )
     k = F.least("nr", "nc") - 1
     out = g.select(
