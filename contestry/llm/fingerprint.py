@@ -28,27 +28,37 @@ COORDINATES = 32
 RANGE_ROWS, MAX_RANGES = 400, 1 << 16
 
 
+#: A text's smallest sample is exponential with the rate of its total weight: it exceeds this many means
+#: with a chance of exp(-24), and terms that are sure to exceed it are passed over without a logarithm.
+MEANS = 24.0
+
+
 def _sample(k: int) -> Column:
-    """The sample of (term, log_w) in coordinate ``k``; smaller wins."""
+    """The sample of (term, log_w) in coordinate ``k``, smaller wins; null if it is above ``cap``.
+
+    With r = -ln x and c = -ln z a sample is at least c * x / w, and -ln z is at least 2 (1 - z) / (1 + z).
+    """
     low = lambda h, at: (F.shiftrightunsigned(h, at).bitwiseAND(F.lit((1 << 26) - 1)) + F.lit(0.5)) * F.lit(2.0**-26)
     a, b = F.xxhash64("term", F.lit(2 * k)), F.xxhash64("term", F.lit(2 * k + 1))
-    r = -F.log(low(a, 0) * low(a, 26))
-    c = -F.log(low(b, 0) * low(b, 26))
+    x, z = low(a, 0) * low(a, 26), low(b, 0) * low(b, 26)
+    r, c = -F.log(x), -F.log(z)
     u = (F.shiftrightunsigned(a, 52) * F.lit(4096) + F.shiftrightunsigned(b, 52)) * F.lit(2.0**-24)
-    return c * F.exp(-r * (F.floor(F.col("log_w") / r + u) - u + F.lit(1.0)))
+    sample = c * F.exp(-r * (F.floor(F.col("log_w") / r + u) - u + F.lit(1.0)))
+    return F.when(x * (F.lit(1.0) - z) * F.lit(2.0) <= F.col("cap") * (z + F.lit(1.0)), sample)
 
 
 def with_terms(rows: DataFrame, text: str) -> DataFrame:
-    """A row for each distinct word of ``text`` with its hash ``term`` and the log of its count; one null row if it has none."""
+    """A row for each distinct word of ``text``: its hash, the log of its count, the cap; one null row if it has none."""
     words = F.filter(F.split(F.col(text), SPACE_CLASS + "+"), lambda w: w != "")
     rows = rows.withColumn("_h", F.sort_array(F.transform(words, lambda w: F.xxhash64(w)))).drop(text)
     first = lambda i: (i == 0) | (F.get("_h", i) != F.get("_h", i - 1))
     at = F.when(F.size("_h") > 0, F.filter(F.sequence(F.lit(0), F.size("_h") - 1), first)).otherwise(F.array().cast("array<int>"))
     rows = rows.withColumn("_at", at)
     ends = F.concat(F.slice("_at", 2, F.greatest(F.size("_at"), F.lit(1))), F.array(F.size("_h")))
-    terms = F.zip_with("_at", ends, lambda a, b: F.struct(F.get("_h", a).alias("term"), F.log((b - a).cast("double")).alias("log_w")))
-    rows = rows.withColumn("_t", F.explode_outer(terms))
-    return rows.withColumns({"term": F.col("_t.term"), "log_w": F.col("_t.log_w")}).drop("_h", "_at", "_t")
+    terms = F.zip_with("_at", ends, lambda a, b: F.struct(F.get("_h", a).alias("term"), (b - a).cast("double").alias("w")))
+    rows = rows.withColumns({"_t": F.explode_outer(terms), "_n": F.size("_h")})
+    columns = {"term": F.col("_t.term"), "log_w": F.log("_t.w"), "cap": F.col("_t.w") * F.lit(MEANS) / F.col("_n")}
+    return rows.withColumns(columns).drop("_h", "_at", "_t", "_n")
 
 
 def signatures(rows: DataFrame, text: str, keys: list[str], coordinates: int = COORDINATES) -> DataFrame:
