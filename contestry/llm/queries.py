@@ -1,14 +1,24 @@
 """The registered queries of this subpackage and the SQL of those that SQL can express."""
 
+import public_tokenizers
 from pyspark.sql import functions as F
 
-from contestry.llm import cuckoo, fingerprint, lines, mixing
+from contestry.llm import chat, cuckoo, fingerprint, lines, minhash, mixing, packing
 
 
 def documents(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def tokenizer() -> dict:
+    """The parameters of the packing operator that name the public vocabulary."""
+    return {"json_path": public_tokenizers.path("byte_bpe_50k.json"), "ranks_path": public_tokenizers.path("byte_bpe_50k.tiktoken"), "pattern": public_tokenizers.PATTERN}
+
+
+def op2_packing(spark, sf_dir):
+    return packing.pack(documents(spark, sf_dir), **tokenizer())
+
+
 def op3_exact_dedup(spark, sf_dir):
     return cuckoo.dedup(spark, documents(spark, sf_dir))
 
@@ -18,6 +28,13 @@ def op6_mixing(spark, sf_dir):
     return out.select("doc_id", "source", "copy_no", "n_copies", F.sha2(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 256).alias("text_sha256"))
 
 
+def op7_chat_format(spark, sf_dir):
+    control = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-1, 0, "user", control), (-1, 1, "assistant", control)], "conv_id long, turn long, role string, text string")
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text").unionByName(extra)
+    return chat.digests(spark, chat.format_windows(spark, turns))
+
+
 def op8_line_dedup(spark, sf_dir):
     return lines.drop_lines(spark, documents(spark, sf_dir), min_docs=10, min_chars=1)
 
@@ -26,7 +43,11 @@ def op9_fingerprint(spark, sf_dir):
     return fingerprint.fingerprints(spark, documents(spark, sf_dir))
 
 
-Q = {f.__name__: f for f in (op3_exact_dedup, op6_mixing, op8_line_dedup, op9_fingerprint)}
+def op10_near_dedup(spark, sf_dir):
+    return minhash.near_duplicates(spark, documents(spark, sf_dir))
+
+
+Q = {f.__name__: f for f in (op2_packing, op3_exact_dedup, op6_mixing, op7_chat_format, op8_line_dedup, op9_fingerprint, op10_near_dedup)}
 
 _BARE = r"regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')"
 _KEY = r"translate(regexp_replace(regexp_replace(line, '^[\x20\x09-\x0D]+', ''), '[\x20\x09-\x0D]+$', ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
