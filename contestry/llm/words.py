@@ -37,9 +37,10 @@ def _powers(base: int, n: int) -> np.ndarray:
 
 
 class Words:
-    """Hashes words of text columns. ``fold`` folds A-Z."""
+    """Hashes words of text columns. ``fold`` folds A-Z; ``prefixes`` are lengths in bytes of beginnings to hash as well."""
 
-    def __init__(self, fold: bool = True):
+    def __init__(self, fold: bool = True, prefixes: tuple[int, ...] = ()):
+        self.prefixes = prefixes
         space = np.zeros(256, bool)
         space[[ord(c) for c in SPACE]] = True
         self.space = space
@@ -55,11 +56,14 @@ class Words:
             self.down = _powers(pow(_BASE, -1, 1 << 64), n)
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """(hash of every word in order, offsets of each text's words: one more than texts)."""
+        """(hash of every word in order, offsets of each text's words: one more than texts).
+
+        With ``prefixes`` the hashes have a column for the word and one for each prefix; a shorter word is its own prefix.
+        """
         data, offsets = text_bytes(texts)
         n = len(data)
         if not n:
-            return np.zeros(0, _U), np.zeros(len(offsets), np.int64)
+            return np.zeros((0, 1 + len(self.prefixes)) if self.prefixes else 0, _U), np.zeros(len(offsets), np.int64)
         gap = self.space[data]
         first = np.zeros(n + 1, bool)
         first[offsets] = True
@@ -71,7 +75,7 @@ class Words:
         after[-1] = True
         after[:-1] = gap[1:]
         ends = np.flatnonzero(~gap & (after | first[1:])) + 1
-        out = np.empty(len(starts), _U)
+        out = np.empty((len(starts), 1 + len(self.prefixes)), _U)
         i = 0
         while i < len(starts):
             j = max(i + 1, int(np.searchsorted(ends, starts[i] + CHUNK, "right")))
@@ -80,9 +84,11 @@ class Words:
             run = np.zeros(b - a + 1, _U)
             np.cumsum(self.value[data[a:b]] * self.up[: b - a], out=run[1:])
             s, e = starts[i:j] - a, ends[i:j] - a
-            out[i:j] = (run[e] - run[s]) * self.down[s]
+            for c, length in enumerate((0, *self.prefixes)):
+                stop = np.minimum(e, s + length) if length else e
+                out[i:j, c] = (run[stop] - run[s]) * self.down[s] + _U(c)
             i = j
-        return mix(out), np.searchsorted(starts, offsets).astype(np.int64)
+        return mix(out if self.prefixes else out[:, 0]), np.searchsorted(starts, offsets).astype(np.int64)
 
 
 def text_bytes(texts: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
