@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from contestry.llm import chat, cuckoo, fingerprint, lines, minhash, mixing, packing, toxicity
+from contestry.llm import chat, cuckoo, fingerprint, lines, minhash, mixing, packing, quality, toxicity
 
 
 def documents(spark, sf_dir):
@@ -27,6 +27,10 @@ def op4_toxicity(spark, sf_dir):
     return toxicity.predictions(spark, documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op5_quality(spark, sf_dir):
+    return quality.predictions(spark, documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op6_mixing(spark, sf_dir):
     out = mixing.replicate(spark, documents(spark, sf_dir), numbered=True)
     return out.select("doc_id", "source", "copy_no", "n_copies", F.sha2(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 256).alias("text_sha256"))
@@ -51,7 +55,7 @@ def op10_near_dedup(spark, sf_dir):
     return minhash.near_duplicates(spark, documents(spark, sf_dir))
 
 
-Q = {f.__name__: f for f in (op2_packing, op3_exact_dedup, op4_toxicity, op6_mixing, op7_chat_format, op8_line_dedup, op9_fingerprint, op10_near_dedup)}
+Q = {f.__name__: f for f in (op2_packing, op3_exact_dedup, op4_toxicity, op5_quality, op6_mixing, op7_chat_format, op8_line_dedup, op9_fingerprint, op10_near_dedup)}
 
 _BARE = r"regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')"
 _KEY = r"translate(regexp_replace(regexp_replace(line, '^[\x20\x09-\x0D]+', ''), '[\x20\x09-\x0D]+$', ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
