@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from contestry.llm import chat, cuckoo, fingerprint, lines, minhash, mixing, packing, quality, toxicity
+from contestry.llm import chat, cuckoo, fingerprint, lines, minhash, mixing, packing, pst, quality, toxicity
 
 
 def documents(spark, sf_dir):
@@ -15,6 +15,10 @@ def tokenizer() -> dict:
     return {"json_path": public_tokenizers.path("byte_bpe_50k.json"), "ranks_path": public_tokenizers.path("byte_bpe_50k.tiktoken"), "pattern": public_tokenizers.PATTERN}
 
 
+def op1_suffix_tree(spark, sf_dir):
+    return pst.score(spark, documents(spark, sf_dir))
+
+
 def op2_packing(spark, sf_dir):
     return packing.pack(documents(spark, sf_dir), **tokenizer())
 
@@ -55,7 +59,7 @@ def op10_near_dedup(spark, sf_dir):
     return minhash.near_duplicates(spark, documents(spark, sf_dir))
 
 
-Q = {f.__name__: f for f in (op2_packing, op3_exact_dedup, op4_toxicity, op5_quality, op6_mixing, op7_chat_format, op8_line_dedup, op9_fingerprint, op10_near_dedup)}
+Q = {f.__name__: f for f in (op1_suffix_tree, op2_packing, op3_exact_dedup, op4_toxicity, op5_quality, op6_mixing, op7_chat_format, op8_line_dedup, op9_fingerprint, op10_near_dedup)}
 
 _BARE = r"regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')"
 _KEY = r"translate(regexp_replace(regexp_replace(line, '^[\x20\x09-\x0D]+', ''), '[\x20\x09-\x0D]+$', ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
