@@ -50,7 +50,7 @@ def shingles(hashes: np.ndarray, offsets: np.ndarray, size: int = SHINGLE) -> tu
             if len(part) > 1:
                 part = part[np.concatenate([[True], part[1:] != part[:-1]])]
         elif b > a:
-            whole = b - a
+            whole = int(b - a)
             for h in hashes[a:b].tolist():
                 whole = (whole * int(factor) + h) & ((1 << 64) - 1)
             part = mix(np.array([whole], np.uint64))
