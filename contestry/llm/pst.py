@@ -1,7 +1,8 @@
 """Language-model scoring with a probabilistic suffix tree over words.
 
 A context is the last one or two words of the text. A state is kept for a context that training text holds at
-least ``MIN_COUNT`` times, whose shorter suffix is kept, and whose next words diverge from those of that suffix:
+least ``MIN_COUNT`` times and ``ROOT_SHARE`` times the square root of its tokens, so that states grow with the
+corpus but more slowly than its tokens, whose shorter suffix is kept, and whose next words diverge from those of that suffix:
 the mean log ratio of its own to its suffix's prediction, each occurrence left out of its own count, is at
 least ``DIVERGENCE``. A state predicts with its counts smoothed towards its suffix,
 (count + STRENGTH * p(suffix)) / (context count + STRENGTH); the root discounts every known word's count by a
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 from contestry.llm.words import Words, mix, pieces
 from contestry.session import Stage
 
-DEPTH, MIN_COUNT, DIVERGENCE, STRENGTH = 2, 32, 0.02, 100.0
+DEPTH, MIN_COUNT, ROOT_SHARE, DIVERGENCE, STRENGTH = 2, 32, 0.05, 0.02, 100.0
 #: Text in a block, in bytes.
 BLOCK = 16 << 20
 FOLDS, HELD = 7, 2
@@ -136,7 +137,7 @@ class _Block:
         return out, out_first
 
 
-def _walk(own: _Block, buckets: int, totals: tuple | None, depth: int, min_count: int, divergence: float, strength: float):
+def _walk(own: _Block, buckets: int, totals: tuple | None, depth: int, min_count: int, root_share: float, divergence: float, strength: float):
     """The rows this block asks next, or its documents' scores once everything is answered."""
     tokens, keys = own.tokens, own.vocabulary
     n = len(tokens)
@@ -144,6 +145,7 @@ def _walk(own: _Block, buckets: int, totals: tuple | None, depth: int, min_count
         counts = np.bincount(tokens, weights=own.train, minlength=len(keys)).astype(np.int32)
         return _asked(0, own.block, keys, counts, buckets), None
     total, known, once, twice = totals
+    least = max(min_count, root_share * total**0.5)
     count, _ = own.answer(0, None)
     discount = once / (once + 2 * twice) if once and twice else 0.5
     root = np.where(count > 0, count - discount, discount * known) / max(total, 1)
@@ -158,7 +160,7 @@ def _walk(own: _Block, buckets: int, totals: tuple | None, depth: int, min_count
     context[1:] = np.where(opens[1:], -1, tokens[:-1])
     context_count, context_key = count, mix(keys + _U(1))
     for d in range(1, depth + 1):
-        at = np.flatnonzero((context >= 0) & (np.where(context >= 0, context_count[context], 0) >= min_count))
+        at = np.flatnonzero((context >= 0) & (np.where(context >= 0, context_count[context], 0) >= least))
         grams, where, place = np.unique(context[at] * len(keys) + tokens[at], return_index=True, return_inverse=True)
         gram_context, gram_word = grams // len(keys), grams % len(keys)
         gram_key = mix(context_key[gram_context] * _U(0x9E3779B97F4A7C15) + keys[gram_word] + _U(d))
@@ -202,7 +204,7 @@ def _walk(own: _Block, buckets: int, totals: tuple | None, depth: int, min_count
 
 
 def score(
-    spark: SparkSession, docs: DataFrame, depth: int = DEPTH, min_count: int = MIN_COUNT, divergence: float = DIVERGENCE, strength: float = STRENGTH,
+    spark: SparkSession, docs: DataFrame, depth: int = DEPTH, min_count: int = MIN_COUNT, root_share: float = ROOT_SHARE, divergence: float = DIVERGENCE, strength: float = STRENGTH,
     doc_id: str = "doc_id", text: str = "text",
 ) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
@@ -219,7 +221,7 @@ def score(
         n_blocks = blocks.select("block").count()
         buckets = max(parts, n_blocks)
         totals, answers = None, spark.createDataFrame([], ANSWER)
-        settings = (depth, min_count, divergence, strength)
+        settings = (depth, min_count, root_share, divergence, strength)
         for turn in range(depth + 2):
             asked = blocks.groupBy("block").cogroup(answers.where("block IS NOT NULL").groupBy("block")).applyInArrow(_asking(buckets, totals, settings), ASK)
             new = stage.write(asked.groupBy("kind", "bucket").applyInArrow(_summed, ANSWER), f"answers{turn}")
