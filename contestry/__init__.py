@@ -1 +1,8 @@
-"""Spark-native analytics for dated pairwise contests."""
+"""Analytics of dated pairwise contests on Spark."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions sent to executors carry their code along, so workers need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
