@@ -7,8 +7,10 @@ pair at Jaccard 0.8 is missed with a chance of (1 - 0.8**ROWS)**BANDS, 5e-6 here
 
 Documents with the same set are one class with its smallest doc_id, so copies make no pairs. In a bucket
 every class is first held against the bucket's smallest one only; verified links are joined to components.
-Then only pairs of a bucket whose classes are still in different components, and whose set sizes allow the
-threshold, are held against each other. Links are confirmed on whole sets. No bucket is capped. Links and
+In buckets that still hold several components, classes outside the largest one are held against the bucket's
+other components by a bound first: every set has a bitmap of the parities of its shingles' hashes, two sets differ
+in at least as many shingles as their bitmaps in bits, and a pair goes on only if its sizes and that difference
+allow the threshold. Links are confirmed on whole sets. No bucket is capped. Links and
 components stay in tables; components are found by repeated hooking to the smallest neighbour.
 
 Null texts and texts without words have no shingle and are linked with nothing. Fewer than four words are
@@ -31,6 +33,8 @@ SHINGLE, THRESHOLD = 4, 80
 ROWS, BANDS = 6, 40
 #: Shingles that a pass over the coordinates works on at a time (32 bits each, in cache).
 BLOCK = 1 << 15
+#: Longs of 64 bits in a set's bitmap.
+MARKS = 16
 
 
 def shingles(hashes: np.ndarray, offsets: np.ndarray, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -140,7 +144,11 @@ def _sets(size: int):
         for batch in pieces(batches, "text"):
             sets, offsets = shingles(*words(batch.column("text")), size)
             lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(longs(sets)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), lists], names=["id", "shingles"])
+            bits = np.zeros((len(offsets) - 1, 64 * MARKS), np.int64)
+            np.add.at(bits, (np.repeat(np.arange(len(bits)), np.diff(offsets)), (sets % np.uint64(64 * MARKS)).astype(np.int64)), 1)
+            marks = np.packbits((bits & 1).astype(np.uint8), axis=1).view(np.int64)
+            marks = pa.ListArray.from_arrays(pa.array(np.arange(0, marks.size + 1, MARKS, dtype=np.int32)), pa.array(marks.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), lists, marks], names=["id", "shingles", "marks"])
 
     return run
 
@@ -210,13 +218,12 @@ def near_duplicates(
     members = stage.write(entries.join(least, "bucket"), "members")
     wanted = stage.write(members.select("id").distinct(), "wanted")
     sets = stage.write(
-        texts.join(wanted, F.col("doc_id") == F.col("id"), "left_semi").mapInArrow(_sets(size), "id long, shingles array<long>"), "sets"
+        texts.join(wanted, F.col("doc_id") == F.col("id"), "left_semi").mapInArrow(_sets(size), "id long, shingles array<long>, marks array<long>"), "sets"
     )
     star = members.where("id <> lead").select(F.col("lead").alias("x"), F.col("id").alias("y")).distinct()
     links = stage.write(confirmed(star, sets, threshold), "star-links")
     found = components(stage, links, "star")
-    rest = _open_pairs(members, found, threshold)
-    more = stage.write(confirmed(rest, sets, threshold), "open-links")
+    more = stage.write(confirmed(_open_pairs(stage, members, found, sets, threshold), sets, threshold), "open-links")
     if more.take(1):
         found = components(stage, links.unionByName(more), "all")
     linked = classes.join(found.withColumnRenamed("id", "class"), "class", "left").select("set_a", "set_b", F.col("n"), F.coalesce("component", "class").alias("component"))
@@ -225,23 +232,21 @@ def near_duplicates(
     return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(True)).alias("kept"))
 
 
-def _open_pairs(members: DataFrame, found: DataFrame, threshold: int) -> DataFrame:
-    """Pairs of a bucket that no component joins yet and whose sizes allow a link.
-
-    All classes outside the component of a bucket's leader are held against the bucket's other components.
-    """
+def _open_pairs(stage: Stage, members: DataFrame, found: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+    """The pairs of a bucket that no component joins and that sizes and bitmaps allow: outside its largest component against the others."""
     known = members.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    lead = found.select(F.col("id").alias("lead"), F.col("component").alias("lead_component"))
-    known = known.join(lead, "lead", "left").withColumn("lead_component", F.coalesce("lead_component", "lead"))
-    outside = known.where("component <> lead_component").select("bucket", F.col("id").alias("y"), F.col("n").alias("ny"), F.col("component").alias("cy"))
-    # Buckets with nothing outside fall away before the join of the members.
-    mixed = known.join(outside.select("bucket").distinct(), "bucket", "left_semi")
-    pairs = mixed.join(outside, "bucket").where(
-        (F.col("component") != F.col("cy"))
-        & ((F.col("component") == F.col("lead_component")) | (F.col("id") < F.col("y")))
-        & (F.col("id") != F.col("lead"))
-        & (100 * F.least("n", "ny") >= threshold * F.greatest("n", "ny"))
-    )
+    sizes = known.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("k"))
+    largest = sizes.groupBy("bucket").agg(F.max(F.struct("k", "component")).alias("m"), F.count(F.lit(1)).alias("c")).where("c > 1")
+    known = known.join(largest.select("bucket", F.col("m.component").alias("main")), "bucket").join(sets.select("id", "marks"), "id")
+    known = stage.write(known.select("bucket", "id", "n", "component", "main", "marks"), "opened")
+    outside = known.where("component <> main").select("bucket", F.col("id").alias("y"), F.col("n").alias("ny"), F.col("component").alias("cy"), F.col("marks").alias("my"))
+    differ = sum((F.bit_count(F.get("marks", F.lit(i)).bitwiseXOR(F.get("my", F.lit(i)))) for i in range(MARKS)), F.lit(0))
+    # With d shingles in one set only, the intersection is (n + ny - d) / 2 and the union (n + ny + d) / 2.
+    total = F.col("n") + F.col("ny")
+    pairs = known.join(outside, "bucket").where(
+        (F.col("component") != F.col("cy")) & ((F.col("component") == F.col("main")) | (F.col("id") < F.col("y")))
+        & (100 * F.least("n", "ny") >= threshold * F.greatest("n", "ny")) & (100 * (total - differ) >= threshold * (total + differ))
+    )
     return pairs.select(F.least("id", "y").alias("x"), F.greatest("id", "y").alias("y")).distinct()
 
 
