@@ -136,4 +136,5 @@ def drop_lines(
     drops = lines.join(common, "hash", "left_semi").groupBy("row").agg(F.collect_set("pos").alias("drop"))
     body = docs.select(row_key(docs, doc_id, text).alias("row"), F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     schema = "doc_id long, n_lines long, n_dropped long, kept_sha256 string" + (", kept_text string" if with_text else "")
-    return body.join(stage.write(drops, "drops"), "row", "left").select("doc_id", "text", "drop").mapInArrow(_cut(with_text), schema)
+    # Merged at every size: a broadcast of the drops would end where the corpus grows.
+    return body.join(stage.write(drops, "drops").hint("merge"), "row", "left").select("doc_id", "text", "drop").mapInArrow(_cut(with_text), schema)
