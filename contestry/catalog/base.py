@@ -15,11 +15,11 @@ sides AS (
   FROM lineitem GROUP BY l_orderkey, l_suppkey),
 r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY l_orderkey ORDER BY first_line, l_suppkey) AS side_no FROM sides),
 m0 AS (
-SELECT o.o_orderkey AS match_id, CAST(o.o_orderdate AS DATE) AS date,
+SELECT o.o_orderkey * 1000003 + a.side_no // 2 AS match_id, CAST(o.o_orderdate AS DATE) AS date,
        CAST(year(o.o_orderdate) AS BIGINT) AS season_year, CAST(n.n_regionkey AS BIGINT) AS league,
        CAST(c.c_nationkey AS BIGINT) AS venue_id, n.n_name AS venue,
        a.l_suppkey AS team1, b.l_suppkey AS team2, a.runs AS team1_runs, b.runs AS team2_runs,
-       CAST(least(9, a.n_lines) AS BIGINT) AS team1_wickets, CAST(least(9, b.n_lines) AS BIGINT) AS team2_wickets,
+       CAST(a.n_lines % 10 AS BIGINT) AS team1_wickets, CAST(b.n_lines % 10 AS BIGINT) AS team2_wickets,
        CASE WHEN o.o_orderkey % 2 = 0 THEN a.l_suppkey ELSE b.l_suppkey END AS toss_winner,
        CASE WHEN o.o_orderpriority IN ('1-URGENT','2-HIGH') THEN 'bat' ELSE 'field' END AS toss_decision,
        CASE WHEN o.o_orderstatus='P' AND o.o_orderkey % 25 = 0 THEN 'no result'
@@ -27,8 +27,8 @@ SELECT o.o_orderkey AS match_id, CAST(o.o_orderdate AS DATE) AS date,
        s1.s_nationkey = c.c_nationkey AS team1_home, s2.s_nationkey = c.c_nationkey AS team2_home,
        o.o_custkey AS umpire1, o.o_orderkey % 40 AS umpire2
 FROM orders o
-JOIN r a ON a.l_orderkey = o.o_orderkey AND a.side_no = 1
-JOIN r b ON b.l_orderkey = o.o_orderkey AND b.side_no = 2
+JOIN r a ON a.l_orderkey = o.o_orderkey AND a.side_no % 2 = 1
+JOIN r b ON b.l_orderkey = o.o_orderkey AND b.side_no = a.side_no + 1
 JOIN customer c ON c.c_custkey = o.o_custkey JOIN nation n ON n.n_nationkey = c.c_nationkey
 JOIN supplier s1 ON s1.s_suppkey = a.l_suppkey JOIN supplier s2 ON s2.s_suppkey = b.l_suppkey),
 m1 AS (
@@ -86,14 +86,14 @@ SELECT match_id, date, day, season_year, league, venue_id, stage, is_decided, vo
 
 POTM = """
 best AS (SELECT m.match_id, arg_max(l_partkey, l_extendedprice * 1000000000 - l_partkey) AS player
-         FROM lineitem JOIN m ON l_orderkey = match_id AND l_suppkey IN (team1, team2)
+         FROM lineitem JOIN m ON l_orderkey = match_id // 1000003 AND l_suppkey IN (team1, team2)
          WHERE result_type <> 'no result' GROUP BY m.match_id)"""
 
 SQUADS = """
 players AS (SELECT match_id, team, player,
               ROW_NUMBER() OVER (PARTITION BY match_id, team ORDER BY player) AS slot_no
             FROM (SELECT DISTINCT match_id, l_suppkey AS team, l_partkey AS player
-                  FROM lineitem JOIN m ON l_orderkey = match_id AND l_suppkey IN (team1, team2)))"""
+                  FROM lineitem JOIN m ON l_orderkey = match_id // 1000003 AND l_suppkey IN (team1, team2)))"""
 
 
 def sql(body: str, *ctes: str) -> str:

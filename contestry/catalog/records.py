@@ -56,6 +56,18 @@ def contest_view(spark, sf):
     )
 
 
+@query(
+    "line_coverage",
+    sql(
+        """SELECT (SELECT count(*) FROM lineitem) AS lines_given, CAST(sum(CASE WHEN side_no <= 2 * pairs THEN n_lines ELSE 0 END) AS BIGINT) AS lines_used,
+        (SELECT count(*) FROM m) AS contests
+        FROM r JOIN (SELECT l_orderkey AS k, max(side_no) // 2 AS pairs FROM r GROUP BY 1) ON k = l_orderkey JOIN orders ON o_orderkey = l_orderkey"""
+    ),
+)
+def line_coverage(spark, sf):
+    return out(S.line_coverage(spark, sf))
+
+
 _CANON = [
     "match_id", "winner", "bat_first", "chasing_team", "margin_type", "margin_value", "first_innings_runs",
     "second_innings_runs", "super_over_winner", "stage", "season_champion",

@@ -1,5 +1,6 @@
-"""Contests derived from the order tables: the two first suppliers of an order meet at the
-customer's nation on the order date, and the larger quantity wins."""
+"""Contests derived from the order tables: the suppliers of an order meet two by two, in line order, at
+the customer's nation on the order date, and the larger quantity wins. Only the last supplier of an odd
+number has no opponent."""
 
 from __future__ import annotations
 
@@ -13,6 +14,8 @@ ERA_FROM = 1999
 PLAYOFFS = 4
 FIRST_VALID, DEV_LAST, HOLDOUT = 1996, 1999, (2000, 2001)
 SEED = 42
+#: Contest ids are order key times this plus the number of the pair; odd, so that remainders mix both.
+ORDER_STEP = 1_000_003
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,8 +26,9 @@ def base_contests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per contest, with the recorded facts only.
 
     Line items are summed per (order, supplier) before anything is shuffled by order, so an order
-    that owns a large share of the rows arrives already reduced. Both sides of an order are then
-    folded into one row by an aggregate; there is no self join.
+    that owns a large share of the rows arrives already reduced. Both sides of a pair are then folded
+    into one row by an aggregate on the same partitioning; there is no self join. An order with more
+    pairs than ids leave room for raises.
     """
     li = table(spark, sf_dir, "lineitem")
     sides = li.groupBy("l_orderkey", "l_suppkey").agg(
@@ -34,14 +38,14 @@ def base_contests(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.expr("max(struct(l_extendedprice, -l_partkey AS neg)) AS best"),
     )
     order = Window.partitionBy("l_orderkey").orderBy("first_line", "l_suppkey")
-    ranked = sides.withColumn("side_no", F.row_number().over(order)).where("side_no <= 2")
-    pairs = ranked.groupBy("l_orderkey").agg(
+    ranked = sides.withColumn("at", F.row_number().over(order) - 1).selectExpr("*", "at DIV 2 AS pair_no", "at % 2 + 1 AS side_no")
+    pairs = ranked.groupBy("l_orderkey", "pair_no").agg(
         *[
             F.expr(f"max(CASE WHEN side_no = {i} THEN {c} END) AS {name}")
             for i in (1, 2)
             for c, name in (
                 ("l_suppkey", f"team{i}"), ("runs", f"team{i}_runs"),
-                ("CAST(least(9, n_lines) AS bigint)", f"team{i}_wickets"),
+                ("CAST(n_lines % 10 AS bigint)", f"team{i}_wickets"),
             )
         ],
         F.expr("-max(best).neg AS best_part"),
@@ -59,8 +63,9 @@ def base_contests(spark: SparkSession, sf_dir: str) -> DataFrame:
         .join(sup.selectExpr("s_suppkey AS team2", "s_nationkey AS n2"), "team2")
     )
     no_result = "(o_orderstatus = 'P' AND o_orderkey % 25 = 0)"
+    crowded = "CAST(raise_error(concat('too many suppliers in order ', o_orderkey)) AS bigint)"
     m = m.selectExpr(
-        "o_orderkey AS match_id",
+        f"CASE WHEN pair_no < {ORDER_STEP} THEN o_orderkey * {ORDER_STEP} + pair_no ELSE {crowded} END AS match_id",
         "to_date(o_orderdate) AS date",
         "date_format(o_orderdate, 'dd-MM-yyyy') AS date_raw",
         "unix_date(to_date(o_orderdate)) AS day",
@@ -146,16 +151,25 @@ def matches(spark: SparkSession, sf_dir: str, stages: bool = True) -> DataFrame:
     return m
 
 
-_STORED: dict[tuple[str, str], dict[str, DataFrame]] = {}
+#: By application, folder and the state of the folder's files.
+_STORED: dict[tuple, dict[str, DataFrame]] = {}
+_TABLES = ("lineitem", "orders", "customer", "nation", "supplier")
+
+
+def _state(spark: SparkSession, sf_dir: str) -> tuple:
+    """A checksum over path, length and time of the files that contests derive from; no content is read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load([f"{sf_dir}/{t}.parquet" for t in _TABLES])
+    mark = F.xxhash64("path", "length", "modificationTime").cast("decimal(38,0)")
+    return tuple(files.select("path", "length", "modificationTime").agg(F.count(F.lit(1)), F.sum(mark)).first())
 
 
 def stored(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """Canonical tables written once per application and read back: ``matches`` and ``players``.
+    """Canonical tables written once per application and state of the files, and read back: ``matches`` and ``players``.
 
     The as-of and model operators pass over them many times; a written table gives each pass its
     own pruned scan and real statistics, and cuts the lineage.
     """
-    key = (spark.sparkContext.applicationId, sf_dir)
+    key = (spark.sparkContext.applicationId, sf_dir, _state(spark, sf_dir))
     if key not in _STORED:
         stage = Stage(spark, "canonical")
         m = stage.write(matches(spark, sf_dir), "matches")
@@ -196,14 +210,28 @@ def stored_rated_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables["rated_features"]
 
 
+def sides_of(m: DataFrame) -> DataFrame:
+    """(match_id, l_orderkey, l_suppkey): the line item key of either side."""
+    return m.select("match_id", F.expr(f"match_id DIV {ORDER_STEP} AS l_orderkey"), F.explode(F.array("team1", "team2")).alias("l_suppkey"))
+
+
+def line_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row: line items given, line items of suppliers with an opponent, and contests."""
+    li = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_suppkey").agg(F.count(F.lit(1)).alias("n"))
+    used = li.join(sides_of(base_contests(spark, sf_dir)), ["l_orderkey", "l_suppkey"], "left")
+    return used.agg(
+        F.sum("n").alias("lines_given"), F.expr("sum(CASE WHEN match_id IS NOT NULL THEN n ELSE 0 END)").alias("lines_used"),
+        F.expr("count(match_id) DIV 2").alias("contests"),
+    )
+
+
 def squads(spark: SparkSession, sf_dir: str, m: DataFrame | None = None) -> DataFrame:
     """(match_id, team, player, slot_no): the distinct parts each side brings to a contest."""
     li = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_suppkey", "l_partkey").agg(F.lit(1).alias("x"))
     m = base_contests(spark, sf_dir) if m is None else m
-    sides = m.select("match_id", F.explode(F.array("team1", "team2")).alias("team"))
-    named = li.join(sides, (F.col("l_orderkey") == F.col("match_id")) & (F.col("l_suppkey") == F.col("team")))
-    slot = Window.partitionBy("match_id", "team").orderBy("l_partkey")
+    named = li.join(sides_of(m), ["l_orderkey", "l_suppkey"])
+    slot = Window.partitionBy("match_id", "l_suppkey").orderBy("l_partkey")
     return named.select(
-        "match_id", "team", F.col("l_partkey").alias("player"),
+        "match_id", F.col("l_suppkey").alias("team"), F.col("l_partkey").alias("player"),
         F.row_number().over(slot).cast("long").alias("slot_no"),
     )
