@@ -245,7 +245,7 @@ def one_standard_error_choice(spark, sf):
 
 # -- drift ------------------------------------------------------------------------------------
 
-_DRIFT = [c for c in A.feature_columns("post_toss") if c != "elo_diff"]
+_DRIFT = [c for c in A.feature_names("post_toss") if c != "elo_diff"]
 
 
 def _drift_sql() -> str:

@@ -196,7 +196,7 @@ ps AS (SELECT pf.*, sa.xi_experience-sb.xi_experience AS xi_experience_diff, sa.
          sa.xi_debutants-sb.xi_debutants AS xi_debutants_diff, sa.xi_continuity-sb.xi_continuity AS xi_continuity_diff
        FROM pf JOIN sf sa ON sa.match_id=pf.match_id AND sa.team=team_a JOIN sf sb ON sb.match_id=pf.match_id AND sb.team=team_b)"""
 PF_CTES = (LONG, COIN, EVENTS, FORM, VENUE, SIDE_VENUE, PAIR, PF)
-NO_ELO = [c for c in A.feature_columns("post_toss") if c != "elo_diff"]
+NO_ELO = [c for c in A.feature_names("post_toss") if c != "elo_diff"]
 
 
 def _fcols(cols, sign=lambda c: "") -> str:
@@ -216,16 +216,16 @@ def pair_features(spark, sf):
     return out(f.withColumn("a_wins", F.col("a_wins").cast("long")), "match_id", "team_a", "team_b", "a_wins", *NO_ELO)
 
 
-_PRE = [c for c in A.feature_columns("pre_toss") if c != "elo_diff"]
+_PRE = [c for c in A.feature_names("pre_toss") if c != "elo_diff"]
 
 
 @query(
     "swapped_features",
-    fsql(f"SELECT match_id, {_fcols(_PRE, lambda c: '-' if c in A.ANTISYMMETRIC else '')} FROM pf", *PF_CTES),
+    fsql(f"SELECT match_id, {_fcols(_PRE, lambda c: '-' if c in A.feature_names("pre_toss", -1) else '')} FROM pf", *PF_CTES),
 )
 def swapped_features(spark, sf):
     f = A.pair_features(S.stored(spark, sf)["matches"])
-    return out(A.swap_orientation(f, "pre_toss"), "match_id", *_PRE)
+    return out(A.swapped(f, "pre_toss"), "match_id", *_PRE)
 
 
 @query(

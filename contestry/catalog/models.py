@@ -331,10 +331,10 @@ def swap_check(spark, sf):
 _SCEN = """
 sc AS (SELECT request_id AS base_id, unnest([
    row('baseline', venue_id, toss_winner, toss_decision),
-   row(team_a || ' wins toss, chooses to bat', venue_id, team_a, 'bat'), row(team_a || ' wins toss, chooses to field', venue_id, team_a, 'field'),
-   row(team_b || ' wins toss, chooses to bat', venue_id, team_b, 'bat'), row(team_b || ' wins toss, chooses to field', venue_id, team_b, 'field'),
-   CASE WHEN ha <> venue_id THEN row('played at home of ' || team_a, ha, toss_winner, toss_decision) END,
-   CASE WHEN hb <> venue_id THEN row('played at home of ' || team_b, hb, toss_winner, toss_decision) END]) AS s
+   row(team_a || ': toss won, bat', venue_id, team_a, 'bat'), row(team_a || ': toss won, field', venue_id, team_a, 'field'),
+   row(team_b || ': toss won, bat', venue_id, team_b, 'bat'), row(team_b || ': toss won, field', venue_id, team_b, 'field'),
+   CASE WHEN ha <> venue_id THEN row('ground: home of ' || team_a, ha, toss_winner, toss_decision) END,
+   CASE WHEN hb <> venue_id THEN row('ground: home of ' || team_b, hb, toss_winner, toss_decision) END]) AS s
   FROM (SELECT rc.*, a.s_nationkey::BIGINT AS ha, b.s_nationkey::BIGINT AS hb FROM rc JOIN supplier a ON a.s_suppkey=team_a JOIN supplier b ON b.s_suppkey=team_b WHERE reasons = ''))"""
 
 

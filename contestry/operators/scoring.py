@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from contestry.operators.asof import pair_features, swap_orientation
+from contestry.operators.asof import pair_features, swapped
 from contestry.operators.cleaning import home_flags
 from contestry.operators.elo import rating_as_of
 from contestry.operators.learn import Calibrator, Fitted, contributions, driver_sentence
@@ -89,7 +89,7 @@ def predict(features: DataFrame, models: dict[str, tuple[Fitted, Calibrator]]) -
             x = x.withColumn("explanation", driver_sentence()).withColumn("drivers", F.slice("drivers", 1, 5))
         else:
             x = x.withColumn("drivers", F.expr("CAST(NULL AS array<struct<feature:string,value:double,contribution:double>>)"))
-            x = x.withColumn("explanation", F.lit("Drivers are unavailable for this model type."))
+            x = x.withColumn("explanation", F.lit("No linear part to read effects from."))
         parts.append(x.withColumn("model", F.lit(model.name)))
     out = parts[0]
     for p in parts[1:]:
@@ -101,7 +101,7 @@ def swap_check(features: DataFrame, model: Fitted, cal: Calibrator) -> DataFrame
     """(match_id, gap): |p(a, b) - (1 - p(b, a))|. Both orientations are scored on the same row's
     features, so the comparison is a join on the key of two narrow tables."""
     ab = cal.symmetric(model.predict(features, "_p"), "_p", "p_ab").select("match_id", "p_ab")
-    ba = cal.symmetric(model.predict(swap_orientation(features, "post_toss"), "_p"), "_p", "p_ba").select("match_id", "p_ba")
+    ba = cal.symmetric(model.predict(swapped(features, "post_toss"), "_p"), "_p", "p_ba").select("match_id", "p_ba")
     return ab.join(ba, "match_id").select("match_id", F.abs(F.col("p_ab") - (1 - F.col("p_ba"))).alias("gap"))
 
 
@@ -126,9 +126,9 @@ def expand_scenarios(req: DataFrame, homes: DataFrame, neutral_venue: Column | N
     items = [_scenario("'baseline'")]
     for who in ("team_a", "team_b"):
         for d in DECISIONS:
-            items.append(_scenario(f"concat(CAST({who} AS string), ' wins toss, chooses to {d}')", toss_winner=who, toss_decision=f"'{d}'"))
+            items.append(_scenario(f"concat(CAST({who} AS string), ': toss won, {d}')", toss_winner=who, toss_decision=f"'{d}'"))
     for label, v in (("concat('home of ', CAST(team_a AS string))", "home_a"), ("concat('home of ', CAST(team_b AS string))", "home_b"), ("'a neutral ground'", "neutral_venue")):
-        items.append(f"CASE WHEN {v} <> venue_id THEN {_scenario(f'concat({chr(39)}played at {chr(39)}, {label})', venue_id=v)} END")
+        items.append(f"CASE WHEN {v} <> venue_id THEN {_scenario(f'concat({chr(39)}ground: {chr(39)}, {label})', venue_id=v)} END")
     x = req.selectExpr("request_id AS base_id", f"explode(filter(array({', '.join(items)}), s -> s IS NOT NULL)) AS s")
     return x.select("base_id", "s.*")
 

@@ -28,8 +28,11 @@ def scoring_by_season(m: DataFrame) -> DataFrame:
     )
 
 
-def mann_whitney(df: DataFrame, value: str, is_a: Column) -> DataFrame:
-    """U of group a, tie-corrected normal statistic, two-sided p (exact for tiny untied samples).
+def mann_whitney(df: DataFrame, value: str, is_a: Column, method: str = "auto") -> DataFrame:
+    """U of group a, tie-corrected normal statistic, two-sided p.
+
+    ``method`` is "exact" (no ties may occur in the null distribution), "asymptotic", or "auto": exact where
+    there are no ties and one group has at most eight rows.
 
     Ranks come from the distinct values, so no row-level sort takes place.
     """
@@ -47,7 +50,9 @@ def mann_whitney(df: DataFrame, value: str, is_a: Column) -> DataFrame:
     sd = F.sqrt(na * nb / 12 * ((n + 1) - F.col("ties") / (n * (n - 1))))
     z = (F.greatest(u, na * nb - u) - na * nb / 2 - 0.5) / F.when(sd > 0, sd)
     out = g.select(F.col("n_a"), (F.col("n") - F.col("n_a")).alias("n_b"), u.alias("u"), z.alias("z"), "most")
-    tiny = (F.col("most") == 1) & (F.least("n_a", "n_b") <= 8) & (F.greatest("n_a", "n_b") <= 200)
+    if method not in ("auto", "exact", "asymptotic"):
+        raise ValueError(f"method is auto, exact or asymptotic, not {method!r}")
+    tiny = F.lit(method == "exact") if method != "auto" else (F.col("most") == 1) & (F.least("n_a", "n_b") <= 8)
     exact = mwu_exact_p(F.when(tiny, F.col("u")), F.when(tiny, F.col("n_a")), F.when(tiny, F.col("n_b")))
     normal = F.when(F.col("z") <= 0, F.lit(1.0)).otherwise(normal_two_sided_p("z"))
     return out.withColumn("p_value", F.coalesce(exact, normal)).drop("most")

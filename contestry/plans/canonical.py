@@ -58,10 +58,11 @@ class Facts:
 
 
 def _map_fact_teams(facts: DataFrame, k: Knowledge, *cols: str) -> DataFrame:
-    """Fact lists name sides by any alias, in or out of its window."""
+    """Fact lists name sides by any alias, in or out of its window; an unknown side fails the query."""
     alias = k.team_alias.groupBy("alias").agg(F.min("team_id").alias("_id"))
     for c in cols:
-        facts = facts.join(alias.withColumnRenamed("alias", c), c).drop(c).withColumnRenamed("_id", c)
+        facts = facts.join(alias.withColumnRenamed("alias", c), c, "left")
+        facts = facts.withColumn(c, C.fail_if_null(F.col("_id"), F.col(c), "unmapped side in a fact list")).drop("_id")
     return facts
 
 

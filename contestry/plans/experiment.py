@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from contestry.operators import evaluate as EV
 from contestry.operators import learn as L
 from contestry.operators import registry as RG
-from contestry.operators.asof import check_features, feature_columns
+from contestry.operators.asof import feature_names, guard_inputs
 from contestry.session import Stage
 
 
@@ -36,8 +36,8 @@ def run_tier(features: DataFrame, tier: str, cfg: Config, base: str) -> dict:
     """
     spark = features.sparkSession
     stage = Stage(spark, f"experiment-{tier}")
-    cols = [c for c in feature_columns(tier) if c in features.columns]
-    check_features(cols, tier)
+    cols = [c for c in feature_names(tier) if c in features.columns]
+    guard_inputs(cols, tier)
     extra = [c for c in ("match_id", "season_year", "stage", "a_wins", "impact_era") if c not in cols]
     # Selected once, from the allow-listed columns only.
     f = stage.write(features.select(*extra, *cols), "features")

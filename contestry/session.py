@@ -31,7 +31,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if path is None:
         path = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if path is None:
-        if not spark.sparkContext.master.startswith("local"):
+        if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         path = os.environ.get("CONTESTRY_SCRATCH")
         if path is None:

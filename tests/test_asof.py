@@ -7,7 +7,7 @@ from contestry.operators import asof as A
 from contestry.operators import elo as E
 
 CUT = "1998-01-01"
-COLS = [c for c in A.feature_columns("post_toss") if c != "elo_diff"]
+COLS = [c for c in A.feature_names("post_toss") if c != "elo_diff"]
 
 
 def snapshot(df, cols, where):
@@ -44,18 +44,18 @@ def test_same_day_isolation(tables):
 
 def test_swap_negates_only_antisymmetric(tables):
     f = A.pair_features(tables["matches"]).limit(50).cache()
-    s = A.swap_orientation(f, "pre_toss")
+    s = A.swapped(f, "pre_toss")
     j = f.alias("f").join(s.alias("s"), "match_id")
-    for c in A.ANTISYMMETRIC[1:]:
+    for c in A.feature_names("pre_toss", -1)[1:]:
         assert j.where(F.abs(F.col(f"f.{c}") + F.col(f"s.{c}")) > 1e-12).count() == 0
 
 
 def test_feature_guard():
-    A.check_features(["elo_diff"], "pre_toss")
+    A.guard_inputs(["elo_diff"], "pre_toss")
     with pytest.raises(ValueError):
-        A.check_features(["winner"], "pre_toss")
+        A.guard_inputs(["winner"], "pre_toss")
     with pytest.raises(ValueError):
-        A.check_features(["a_won_toss"], "pre_toss")
+        A.guard_inputs(["a_won_toss"], "pre_toss")
 
 
 def test_small_history(spark):

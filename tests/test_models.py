@@ -63,7 +63,7 @@ def test_contributions_add_up(feats):
     assert x.where("abs(z - total) > 1e-9").count() == 0
     r = x.withColumn("text", L.driver_sentence()).first()
     sizes = [abs(d.contribution) for d in r.drivers]
-    assert sizes == sorted(sizes, reverse=True) and r.text.startswith("Main drivers: ")
+    assert sizes == sorted(sizes, reverse=True) and r.text.startswith("Largest effects: ")
 
 
 def test_experiment(spark, feats, tmp_path):

@@ -97,3 +97,23 @@ def test_shrinkage_bounds(s, extra, prior, m):
 
 def test_shrink_without_weight_is_the_prior(spark):
     assert one(spark, stats.shrink(F.lit(0), F.lit(0), 0.4, 0)) == 0.4
+
+
+@pytest.mark.parametrize("n", [4 * 10**9, 10**12, 10**14])
+def test_binomial_keeps_its_digits_at_large_n(n):
+    k = int(n / 2 - math.sqrt(n) / 2)
+    sd = math.sqrt(n) / 2
+    assert tails.binom_two_sided(k, n) == pytest.approx(2 * tails.normal_sf((n / 2 - k - 0.5) / sd), abs=1e-7)
+
+
+def test_unsettled_fraction_raises():
+    with pytest.raises(ArithmeticError):
+        tails._fraction(lambda i: ((1.0 if i % 2 else -1.0, 0.1),), 1)
+
+
+def test_large_exact_mann_whitney_is_near_the_normal_or_raises():
+    u, n1, n2 = 1_200_000, 8, 400_000
+    z = (n1 * n2 / 2 - u) / math.sqrt(n1 * n2 * (n1 + n2 + 1) / 12)
+    assert tails.mwu_exact_two_sided(u, n1, n2) == pytest.approx(2 * tails.normal_sf(abs(z)), abs=0.01)
+    with pytest.raises(ValueError):
+        tails.mwu_exact_two_sided(4e9, 8, 10**9)
