@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-_MODULES = ("records", "features", "evaluation", "ingest", "models")
+_MODULES = ("records", "features", "evaluation", "ingest", "models", "services")
 
 
 def _merged(attr: str) -> dict:

@@ -235,8 +235,8 @@ def holdout_ledger(spark, sf):
 
 
 def _requests(spark, sf):
-    """The last seasons' contests as requests, with planted faults."""
-    m = S.stored(spark, sf)["matches"].where("season_year >= 2000")
+    """All contests as requests, with planted faults."""
+    m = S.stored(spark, sf)["matches"]
     return m.selectExpr(
         "match_id AS request_id", "league", "CASE WHEN match_id % 31 = 0 THEN -1L ELSE team1 END AS team_a",
         "CASE WHEN match_id % 37 = 0 THEN team1 ELSE team2 END AS team_b", "CASE WHEN match_id % 41 = 0 THEN 99L ELSE venue_id END AS venue_id",
@@ -251,7 +251,7 @@ REQ = """
 rq AS (SELECT match_id AS request_id, CASE WHEN match_id % 31 = 0 THEN -1 ELSE team1 END AS team_a, CASE WHEN match_id % 37 = 0 THEN team1 ELSE team2 END AS team_b,
          CASE WHEN match_id % 41 = 0 THEN 99 ELSE venue_id END AS venue_id, match_id % 43 = 0 AS bad_date, match_id % 47 = 0 AS bad_stage,
          CASE WHEN match_id % 2 = 0 THEN CASE WHEN match_id % 53 = 0 THEN -5 ELSE toss_winner END END AS toss_winner,
-         CASE WHEN match_id % 2 = 0 AND match_id % 59 <> 0 THEN toss_decision END AS toss_decision, league, stage, date FROM m WHERE season_year >= 2000),
+         CASE WHEN match_id % 2 = 0 AND match_id % 59 <> 0 THEN toss_decision END AS toss_decision, league, stage, date FROM m),
 rc AS (SELECT *, array_to_string(list_filter([
          CASE WHEN team_a = -1 OR (team_b NOT IN (SELECT s_suppkey FROM supplier)) THEN 'unknown team' END, CASE WHEN team_a = team_b THEN 'same team twice' END,
          CASE WHEN venue_id = 99 THEN 'unknown venue' END, CASE WHEN bad_stage THEN 'unknown stage' END,
@@ -260,14 +260,14 @@ rc AS (SELECT *, array_to_string(list_filter([
          CASE WHEN bad_date THEN 'date out of range' END], lambda x: x IS NOT NULL), '; ') AS reasons FROM rq)"""
 
 
-def _checked(spark, sf):
+def checked_requests(spark, sf):
     k = RT.knowledge(spark, sf)
     return SC.check_requests(_requests(spark, sf), k.teams, k.venues, "1990-01-01")
 
 
 @query("request_validation", sql("SELECT request_id, reasons FROM rc", REQ))
 def request_validation(spark, sf):
-    return out(_checked(spark, sf).select("request_id", F.array_join("reasons", "; ").alias("reasons")))
+    return out(checked_requests(spark, sf).select("request_id", F.array_join("reasons", "; ").alias("reasons")))
 
 
 @query(
@@ -280,7 +280,7 @@ def request_validation(spark, sf):
     ),
 )
 def fixture_tiers(spark, sf):
-    ok = _checked(spark, sf).where("size(reasons) = 0")
+    ok = checked_requests(spark, sf).where("size(reasons) = 0")
     return out(ok.select("request_id", SC.tier().alias("tier"), SC.bat_first().alias("bat_first")))
 
 
@@ -289,7 +289,7 @@ def _fixture_features(spark, sf):
 
     def build():
         t, k = S.stored(spark, sf), RT.knowledge(spark, sf)
-        ok = _checked(spark, sf).where("size(reasons) = 0")
+        ok = checked_requests(spark, sf).where("size(reasons) = 0 AND date >= '2000-01-01'")
         fx = Stage(spark, "fixtures").write(SC.fixtures(ok, k.spells, k.neutral, S.ERA_FROM), "fixtures")
         hist = t["matches"].where("season_year <= 1999")
         ratings, games = S.stored_ratings(spark, sf)
@@ -339,7 +339,7 @@ sc AS (SELECT request_id AS base_id, unnest([
 
 
 def _scenarios(spark, sf):
-    ok = _checked(spark, sf).where("size(reasons) = 0").drop("reasons")
+    ok = checked_requests(spark, sf).where("size(reasons) = 0").drop("reasons")
     return SC.expand_scenarios(ok, C.primary_home(RT.knowledge(spark, sf).spells, 2000))
 
 
@@ -377,7 +377,7 @@ _TEN = list(range(1, 11))
     sql(f"SELECT request_id AS base_id, 'vs ' || o AS scenario, o AS team_b FROM rc, (SELECT CAST(unnest({_TEN}) AS BIGINT) AS o) WHERE reasons = '' AND o NOT IN (team_a, team_b)", REQ),
 )
 def opponent_scenarios(spark, sf):
-    ok = _checked(spark, sf).where("size(reasons) = 0")
+    ok = checked_requests(spark, sf).where("size(reasons) = 0")
     return out(SC.opponent_scenarios(ok, _TEN), "base_id", "scenario", "team_b")
 
 

@@ -142,7 +142,7 @@ def log_predictions(scored: DataFrame, path: str) -> None:
 
 
 def latest_predictions(spark: SparkSession, path: str, n: int = 50) -> DataFrame:
-    return spark.read.parquet(path).orderBy(F.desc("created_at"), "team_a", "team_b").limit(n)
+    return spark.read.parquet(path).orderBy(F.desc("created_at"), "team_a", "team_b", "venue_id", "stage", "toss_json", "p_a").limit(n)
 
 
 def record_run(existing: DataFrame | None, run: DataFrame) -> DataFrame:
