@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from contestry.session import Stage
+
 BUCKETS = 256
 _COARSE = 16
 
@@ -107,18 +109,22 @@ def exact_quantiles(df: DataFrame, value: str, qs: Sequence[float], group: Seque
     return weighted_quantiles(rank_values(df, value, group=group), value, qs, group)
 
 
+def text_ranges(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``df`` with ``_b``, the number of the row's range in order of ``keys``. Spark samples the keys for
+    the cuts, so a long common prefix does not matter; the rows are written, so a retry keeps their ranges."""
+    dealt = df.repartitionByRange(*keys).withColumn("_b", F.spark_partition_id())
+    return Stage(df.sparkSession, "order").write(dealt, "ranges")
+
+
 def dense_sequence(df: DataFrame, major: str, minor: Sequence[str], out: str, group: Sequence[str] = ()) -> DataFrame:
     """1..n in order of (major, minor…). ``major`` has few distinct values (days), so its running
     counts are a short table; rows of one major value are cut into ranges of the first minor
-    column (of its leading bytes, for text), so even a day with a third of all rows is spread."""
+    column (of the whole key, for text), so even a day with a third of all rows is spread."""
     group = list(group)
-    first = minor[0]
-    if dict(df.dtypes)[first] == "string":
-        lead = F.conv(F.hex(F.substring(F.encode(first, "UTF-8"), 1, 7)), 16, 10).cast("long")
-        df, first, drop = df.withColumn("_lead", F.coalesce(lead, F.lit(0))), "_lead", ["_lead"]
+    if dict(df.dtypes)[minor[0]] == "string":
+        keyed = text_ranges(df, [*group, major, *minor])
     else:
-        drop = []
-    keyed = _with_bucket(df, first, group + [major])
+        keyed = _with_bucket(df, minor[0], group + [major])
     totals = keyed.groupBy(*group, major, "_b").agg(F.count(F.lit(1)).alias("_c"))
     days = totals.groupBy(*group, major).agg(F.sum("_c").alias("_c"))
     run = Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0))
@@ -134,7 +140,7 @@ def dense_sequence(df: DataFrame, major: str, minor: Sequence[str], out: str, gr
     return (
         keyed.join(offsets, group + [major, "_b"])
         .withColumn(out, (F.col("_day") + F.col("_bin") + rn).cast("long"))
-        .drop("_b", "_day", "_bin", *drop)
+        .drop("_b", "_day", "_bin")
     )
 
 
