@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from dataclasses import asdict
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from contestry.catalog.base import LONG, out, q6, sql
@@ -62,9 +64,11 @@ def _oof(spark, sf):
 
 @query("walk_forward_logistic")
 def walk_forward_logistic(spark, sf):
+    """Every fold of both logistic families over their whole grids."""
     dev = _dev(spark, sf).cache()
-    parts = [L.walk_forward(dev, "elo_logit", {"C": 1.0}, _seasons(dev), "pre_toss"), L.walk_forward(dev, "logreg", {"C": 0.03}, _seasons(dev), "post_toss")]
-    return out(L.oof_losses(parts[0].unionByName(parts[1])))
+    runs = [("elo_logit", p, "pre_toss") for p in L.grid("elo_logit")] + [("logreg", p, "post_toss") for p in L.grid("logreg")]
+    oof = [L.walk_forward(dev, name, p, _seasons(dev), tier) for name, p, tier in runs]
+    return out(L.oof_losses(reduce(DataFrame.unionByName, oof)))
 
 
 @query("walk_forward_trees")
@@ -97,14 +101,14 @@ def calibrated_forecasts(spark, sf):
 @query("feature_group_ablation")
 def feature_group_ablation(spark, sf):
     dev = _dev(spark, sf).cache()
-    return out(L.ablation(dev, _seasons(dev)[-1:], "post_toss", 0.03))
+    return out(L.ablation(dev, _seasons(dev), "post_toss", 0.03))
 
 
 @query("permutation_importance")
 def permutation_importance(spark, sf):
     dev = _dev(spark, sf)
     model = L.fit(dev.where("season_year <= 1997"), "logreg", {"C": 0.1}, "post_toss")
-    return out(L.permutation_importance(dev.where("season_year > 1997"), model, ["elo_diff", "form10_diff", "a_bats_first"], repeats=2))
+    return out(L.permutation_importance(dev.where("season_year > 1997"), model, model.columns))
 
 
 # Coefficients stated here, so that the oracle can restate the contributions.
@@ -207,13 +211,13 @@ def score_frame_query(spark, sf):
 
 @query("score_regression")
 def score_regression(spark, sf):
-    return out(L.evaluate_score_models(_score(spark, sf), S.FIRST_VALID, S.DEV_LAST, S.HOLDOUT, kinds=("ridge",), resamples=100), digits=4)
+    return out(L.evaluate_score_models(_score(spark, sf), S.FIRST_VALID, S.DEV_LAST, S.HOLDOUT, kinds=("ridge",)), digits=4)
 
 
 @query("venue_clusters")
 def venue_clusters(spark, sf):
     prof = R.venue_profiles(S.stored(spark, sf)["matches"])
-    a, _ = L.cluster_venues(prof, n_init=3)
+    a, _ = L.cluster_venues(prof)
     return out(a, "venue_id", "venue", "matches", "cluster", "label")
 
 
