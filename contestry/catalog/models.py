@@ -325,7 +325,14 @@ def batch_prediction(spark, sf):
     return out(p, "match_id", "tier", "model", "p_a", "p_b", "explanation")
 
 
-@query("swap_check")
+@query(
+    "swap_check",
+    sql(
+        """SELECT count(*) AS n, CAST(0 AS DOUBLE) AS largest_gap FROM rc
+        WHERE reasons = '' AND year(date) >= 2000 AND toss_winner IS NOT NULL AND toss_decision IS NOT NULL""",
+        REQ,
+    ),
+)
 def swap_check(spark, sf):
     model, cal = _models(spark, sf)["post_toss"]
     f = _fixture_features(spark, sf).where("tier = 'post_toss'")

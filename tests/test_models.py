@@ -1,3 +1,5 @@
+from random import Random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -101,3 +103,11 @@ def test_shuffled_labels_carry_no_signal(feats):
 def test_summary_sections(tables):
     s = analytics_summary(tables["matches"], tables["players"])
     assert len(s) > 20 and s["kpis"].first().matches == 1347
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 3, 4, 6, 30, 1000])
+def test_affine_permutations_are_permutations(n):
+    draw = Random(3)
+    for _ in range(20):
+        a, b = L._affine(n, draw)
+        assert sorted((a * i + b) % n for i in range(1, n + 1)) == list(range(n))
