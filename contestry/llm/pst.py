@@ -1,8 +1,7 @@
 """Language-model scoring with a probabilistic suffix tree over words.
 
-A context is the last one or two words of the text. A state is kept for a context that training text holds at
-least ``MIN_COUNT`` times and ``ROOT_SHARE`` times the square root of its tokens, so that states grow with the
-corpus but more slowly than its tokens, whose shorter suffix is kept, and whose next words diverge from those of that suffix:
+A context is the last one or two words of the text, or up to ``depth``. A state is kept for a context that training
+text holds at least ``MIN_COUNT`` times at every size, whose shorter suffix is kept, and whose next words diverge from those of that suffix:
 the mean log ratio of its own to its suffix's prediction, each occurrence left out of its own count, is at
 least ``DIVERGENCE``. A state predicts with its counts smoothed towards its suffix,
 (count + STRENGTH * p(suffix)) / (context count + STRENGTH); the root discounts every known word's count by a
@@ -14,7 +13,8 @@ distinct keys (words, n-grams or contexts) with its own counts to buckets of the
 sums equal keys and answers every block in the order asked. Each key leaves a block once, however often the
 block holds it, so a frequent word is no hot key; nothing is collected or broadcast but four totals. Level by
 level the blocks ask for word counts, bigram counts, divergences of one-word contexts and trigram counts,
-divergences of two-word contexts, and then score. All of it follows the size of the corpus.
+divergences of two-word contexts, and then score. All of it follows the size of the corpus. Keys go as differences
+of the sorted hashes; they, their counts and the answers are compressed with the equal bytes of all numbers side by side.
 
 Keys are 64-bit hashes. Null and empty texts are the end token alone. Rows repeated with one doc_id are
 documents of their own. A null doc_id falls to the remainder of an empty text. If nothing is left to train on,
@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from contestry.llm.words import Words, mix, pieces
 from contestry.session import Stage
 
-DEPTH, MIN_COUNT, ROOT_SHARE, DIVERGENCE, STRENGTH = 2, 32, 0.05, 0.02, 100.0
+DEPTH, MIN_COUNT, DIVERGENCE, STRENGTH = 2, 32, 0.02, 100.0
 #: Text in a block, in bytes.
 BLOCK = 16 << 20
 FOLDS, HELD = 7, 2
@@ -57,6 +57,18 @@ def _table(rows: list[tuple], schema: pa.Schema) -> pa.Table:
     return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.types, strict=True)], schema=schema)
 
 
+def _packed(x: np.ndarray) -> bytes:
+    """The type's name, the length, and the numbers' bytes by place, compressed."""
+    body = x.view(np.uint8).reshape(len(x), x.itemsize).T.tobytes()
+    return x.dtype.str.encode() + len(x).to_bytes(8, "little") + pa.compress(body, codec="zstd", asbytes=True)
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    kind, n = np.dtype(data[:3].decode()), int.from_bytes(data[3:11], "little")
+    body = pa.decompress(data[11:], decompressed_size=n * kind.itemsize, codec="zstd", asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(body, np.uint8).reshape(kind.itemsize, n).T).view(kind).reshape(n)
+
+
 def _cut(batches):
     """Blocks of tokenised documents; a word is its place in the block's sorted vocabulary."""
     words, made = Words(), TaskContext.get().partitionId() << 32
@@ -80,7 +92,7 @@ def _asked(kind: int, block: int, keys: np.ndarray, amounts: np.ndarray, buckets
     to = ((keys >> _U(32)) * _U(buckets) >> _U(32)).astype(np.int64)
     edges = np.searchsorted(to, np.arange(buckets + 1))
     return [
-        (kind, b, block, keys[edges[b] : edges[b + 1]].tobytes(), amounts[edges[b] : edges[b + 1]].tobytes())
+        (kind, b, block, _packed(np.diff(keys[edges[b] : edges[b + 1]], prepend=_U(0))), _packed(amounts[edges[b] : edges[b + 1]]))
         for b in np.flatnonzero(np.diff(edges)).tolist()
     ]
 
@@ -89,8 +101,8 @@ def _summed(table: pa.Table) -> pa.Table:
     """One bucket: the sum of every key's amounts, answered to each block in the order it asked."""
     kind, bucket = table["kind"][0].as_py(), table["bucket"][0].as_py()
     counts = kind % 2 == 0
-    keys = [np.frombuffer(x, _U) for x in table["keys"].to_pylist()]
-    amounts = np.concatenate([np.frombuffer(x, np.int32 if counts else np.float64) for x in table["amounts"].to_pylist()])
+    keys = [np.cumsum(_unpacked(x), dtype=_U) for x in table["keys"].to_pylist()]
+    amounts = np.concatenate([_unpacked(x) for x in table["amounts"].to_pylist()])
     unique, first, place = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
     sums = np.bincount(place, weights=amounts, minlength=len(unique))
     is_first = np.zeros(len(place), bool)
@@ -100,7 +112,7 @@ def _summed(table: pa.Table) -> pa.Table:
         part = sums[place[at : at + len(own)]]
         if counts:
             part = part.astype(np.uint32 if sums.max() < 1 << 32 else np.uint64)
-        rows.append((kind, bucket, block, part.dtype.str.encode() + part.tobytes(), np.packbits(is_first[at : at + len(own)]).tobytes(), None, None, None, None))
+        rows.append((kind, bucket, block, _packed(part), np.packbits(is_first[at : at + len(own)]).tobytes(), None, None, None, None))
         at += len(own)
     if kind == 0:
         rows.append((kind, bucket, None, None, None, int(sums.sum()), int((sums > 0).sum()), int((sums == 1).sum()), int((sums == 2).sum())))
@@ -126,7 +138,7 @@ class _Block:
         """(sums, whether this block was the first to ask) for the keys in the order before they were sorted by ``order``."""
         sums, first = [], []
         for _, s, f in sorted(self.answers[kind]):
-            part = np.frombuffer(s, np.dtype(s[:3].decode()), offset=3)  # the type's name comes first
+            part = _unpacked(s)
             sums.append(part.astype(float))
             first.append(np.unpackbits(np.frombuffer(f, np.uint8))[: len(part)].astype(bool))
         sums, first = np.concatenate(sums), np.concatenate(first)
@@ -137,7 +149,7 @@ class _Block:
         return out, out_first
 
 
-def _walk(own: _Block, buckets: int, totals: tuple | None, depth: int, min_count: int, root_share: float, divergence: float, strength: float):
+def _walk(own: _Block, buckets: int, totals: tuple | None, depth: int, min_count: int, divergence: float, strength: float):
     """The rows this block asks next, or its documents' scores once everything is answered."""
     tokens, keys = own.tokens, own.vocabulary
     n = len(tokens)
@@ -145,7 +157,6 @@ def _walk(own: _Block, buckets: int, totals: tuple | None, depth: int, min_count
         counts = np.bincount(tokens, weights=own.train, minlength=len(keys)).astype(np.int32)
         return _asked(0, own.block, keys, counts, buckets), None
     total, known, once, twice = totals
-    least = max(min_count, root_share * total**0.5)
     count, _ = own.answer(0, None)
     discount = once / (once + 2 * twice) if once and twice else 0.5
     root = np.where(count > 0, count - discount, discount * known) / max(total, 1)
@@ -160,7 +171,7 @@ def _walk(own: _Block, buckets: int, totals: tuple | None, depth: int, min_count
     context[1:] = np.where(opens[1:], -1, tokens[:-1])
     context_count, context_key = count, mix(keys + _U(1))
     for d in range(1, depth + 1):
-        at = np.flatnonzero((context >= 0) & (np.where(context >= 0, context_count[context], 0) >= least))
+        at = np.flatnonzero((context >= 0) & (np.where(context >= 0, context_count[context], 0) >= min_count))
         grams, where, place = np.unique(context[at] * len(keys) + tokens[at], return_index=True, return_inverse=True)
         gram_context, gram_word = grams // len(keys), grams % len(keys)
         gram_key = mix(context_key[gram_context] * _U(0x9E3779B97F4A7C15) + keys[gram_word] + _U(d))
@@ -204,7 +215,7 @@ def _walk(own: _Block, buckets: int, totals: tuple | None, depth: int, min_count
 
 
 def score(
-    spark: SparkSession, docs: DataFrame, depth: int = DEPTH, min_count: int = MIN_COUNT, root_share: float = ROOT_SHARE, divergence: float = DIVERGENCE, strength: float = STRENGTH,
+    spark: SparkSession, docs: DataFrame, depth: int = DEPTH, min_count: int = MIN_COUNT, divergence: float = DIVERGENCE, strength: float = STRENGTH,
     doc_id: str = "doc_id", text: str = "text",
 ) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
@@ -221,7 +232,7 @@ def score(
         n_blocks = blocks.select("block").count()
         buckets = max(parts, n_blocks)
         totals, answers = None, spark.createDataFrame([], ANSWER)
-        settings = (depth, min_count, root_share, divergence, strength)
+        settings = (depth, min_count, divergence, strength)
         for turn in range(depth + 2):
             asked = blocks.groupBy("block").cogroup(answers.where("block IS NOT NULL").groupBy("block")).applyInArrow(_asking(buckets, totals, settings), ASK)
             new = stage.write(asked.groupBy("kind", "bucket").applyInArrow(_summed, ANSWER), f"answers{turn}")

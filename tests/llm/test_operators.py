@@ -50,6 +50,16 @@ def test_suffix_tree(spark, docs, empty):
     assert pst.score(spark, empty).count() == 0
 
 
+def test_suffix_tree_keeps_a_context_in_a_large_corpus(spark):
+    """A context seen 40 times is a state beside 800,000 tokens as it is beside 800."""
+    ids = [i for i in range(100) if zlib.crc32(str(i).encode()) % pst.FOLDS != pst.HELD]
+    for filler in (800, 800_000):
+        rows = [(i, "aa bb") for i in ids[:40]] + [(ids[40], " ".join(f"w{j % 5000}" for j in range(filler)))]
+        got = {r.doc_id: r for r in pst.score(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        assert got[ids[0]].train_tokens == filler + 40 * 3 + 1
+        assert got[ids[0]].score - np.log10(40 / got[ids[0]].train_tokens) > 2 * np.log10(40 / 140) - 0.1
+
+
 def test_packing(docs, empty):
     tokenizers = pytest.importorskip("tokenizers")
     options = queries.tokenizer()
