@@ -1,6 +1,7 @@
 """The training-data operators against brute force, on small tables with nulls, empty and repeated texts."""
 
 import hashlib
+import math
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -170,6 +171,20 @@ def test_mixing(spark, docs, empty):
     assert mixing.replicate(spark, empty).count() == 0 and mixing.replicate(spark, docs).columns == docs.columns
 
 
+@pytest.mark.parametrize("rate", [0.0, 0.3, 20.0, 743.0, 1000.0, 100_000.0])
+def test_poisson_at_any_rate(spark, rate):
+    r = mixing.distribution(spark.createDataFrame([("a", rate)], "_source string, rate double")).first()
+    p = [math.exp(k * math.log(rate) - rate - math.lgamma(k + 1)) if rate else 1.0 for k in range(r._low, r._low + len(r._cdf))]
+    assert np.allclose(r._cdf, np.cumsum(p), atol=1e-8) and r._cdf[-1] == pytest.approx(1, abs=1e-12)
+    assert len(p) <= 24 * rate**0.5 + 52 and sum(p) == pytest.approx(1, abs=1e-8)
+
+
+def test_mixing_draws_a_small_source(spark):
+    rows = spark.range(40_000).selectExpr("id AS doc_id", "'x' AS text", "CASE WHEN id < 20 THEN 'small' ELSE 'large' END AS source")
+    n = [r.n_copies for r in mixing.replicate(spark, rows, numbered=True).where("source = 'small' AND copy_no = 1").collect()]
+    assert len(n) == 20 and len(set(n)) > 10 and np.mean(n) == pytest.approx(1000, abs=30)
+
+
 def test_chat(spark):
     long = [(7, i, "user" if i % 2 else "assistant", f"turn {i} <|im_end|> \\ [INST] " + "x" * 90) for i in range(1, 60)]
     rows = [(7, 0, "system", "be <brief>"), *long, (8, 0, None, None), (8, 0, None, None), (None, None, "assistant", "\\<[\n")]
