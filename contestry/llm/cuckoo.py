@@ -9,8 +9,8 @@ Copies are folded twice by the same table: once per scan task, so that a group w
 leaves each task as one record, and once per shard. Shards are sized by the number of rows.
 
 Null texts count as empty; all empty texts are equal. Of a group the row with the most code points
-stays, then the smallest doc_id (a null doc_id last). Rows repeated with one doc_id count as copies; those
-that agree with the best row in doc_id and length stay together. An empty table gives an empty result. Extra columns are ignored by :func:`dedup` and kept by :func:`keep_rows`.
+stays, then the smallest doc_id (a null doc_id last). Rows repeated with one doc_id count as copies;
+:func:`dedup` marks all that agree with the best row in doc_id and length, :func:`keep_rows` keeps one of them. An empty table gives an empty result. Extra columns are ignored by :func:`dedup` and kept by :func:`keep_rows`.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from contestry.llm.words import SPACE
@@ -172,13 +172,17 @@ def _merge_shard(key, stored: pa.Table, changes: pa.Table) -> pa.Table:
     return _table([(key[0].as_py(), index.n, *x) for x in index.items()], _INDEX)
 
 
+def _digest(body: Column) -> Column:
+    return F.unhex(F.sha2(F.encode(F.translate(body, SPACE, ""), "UTF-8"), 256))
+
+
 def digests(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_chars, digest) of every row."""
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     return docs.select(
         F.col(doc_id).cast("long").alias("doc_id"),
         F.char_length(body).cast("long").alias("n_chars"),
-        F.unhex(F.sha2(F.encode(F.translate(body, SPACE, ""), "UTF-8"), 256)).alias("digest"),
+        _digest(body).alias("digest"),
     )
 
 
@@ -202,13 +206,18 @@ def update(index: DataFrame, inserts: DataFrame | None, deletes: DataFrame | Non
     return index.groupBy("shard").cogroup(changes.groupBy("shard")).applyInArrow(_merge_shard, INDEX)
 
 
-def dedup(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: doc_id, keep_id, group_size, kept, text_sha256."""
+def _indexed(spark: SparkSession, docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """The digests of all rows, and one record for each distinct digest."""
     stage = Stage(spark, "exact-dedup")
     rows = stage.write(digests(docs, doc_id, text), "digests")
     shards = max(1, -(-rows.count() // SHARD_ROWS), int(spark.conf.get("spark.sql.shuffle.partitions")))
     index = stage.write(update(empty_index(spark), rows, shards=shards), "index")
-    groups = index.select("digest", F.col("doc_id").alias("keep_id"), F.col("copies").alias("group_size"), F.col("n_chars").alias("keep_chars"))
+    return rows, index.select("digest", F.col("doc_id").alias("keep_id"), F.col("copies").alias("group_size"), F.col("n_chars").alias("keep_chars"))
+
+
+def dedup(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per document: doc_id, keep_id, group_size, kept, text_sha256."""
+    rows, groups = _indexed(spark, docs, doc_id, text)
     same = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("n_chars") == F.col("keep_chars"))
     return rows.join(groups, "digest").select(
         "doc_id", "keep_id", "group_size", same.alias("kept"), F.lower(F.hex("digest")).alias("text_sha256")
@@ -216,7 +225,23 @@ def dedup(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id", text: st
 
 
 def keep_rows(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns."""
-    dropped = dedup(spark, docs, doc_id, text).where("NOT kept").select(F.col("doc_id").alias("_dropped"), F.col("text_sha256").alias("_sha")).distinct()
-    sha = F.sha2(F.encode(F.translate(F.coalesce(F.col(text).cast("string"), F.lit("")), SPACE, ""), "UTF-8"), 256)
-    return docs.withColumn("_sha256", sha).join(dropped, F.col(doc_id).cast("long").eqNullSafe(F.col("_dropped")) & (F.col("_sha256") == F.col("_sha")), "left_anti").drop("_sha256")
+    """One row of each group with all its columns: of the rows like the best in doc_id and length, the first by a hash of the row's columns."""
+    rows, groups = _indexed(spark, docs, doc_id, text)
+    best = groups.select(F.col("digest").alias("_digest"), F.col("keep_id").alias("_id"), F.col("keep_chars").alias("_chars"))
+
+    def alike(digest, own_id, chars):
+        return (digest == F.col("_digest")) & own_id.eqNullSafe(F.col("_id")) & (chars == F.col("_chars"))
+
+    found = rows.join(best, alike(F.col("digest"), F.col("doc_id"), F.col("n_chars"))).groupBy("_digest", "_id", "_chars").agg(F.count(F.lit(1)).alias("_n"))
+    best = Stage(spark, "exact-dedup").write(found, "best")
+    body = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    with_keys = docs.withColumn("_sha", _digest(body)).withColumn("_length", F.char_length(body).cast("long"))
+    same = alike(F.col("_sha"), F.col(doc_id).cast("long"), F.col("_length"))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    kept = with_keys.join(best.where("_n = 1"), same, "left_semi").select(*columns)
+    repeated = best.where("_n > 1")
+    if repeated.isEmpty():
+        return kept
+    row = F.struct(*columns)
+    one = with_keys.join(repeated, same, "left_semi").groupBy("_sha").agg(F.min_by(row, F.xxhash64(F.to_json(row))).alias("_row"))
+    return kept.union(one.select(*[F.col(f"_row.`{c}`").alias(c) for c in docs.columns]))

@@ -118,6 +118,15 @@ def test_exact_dedup(spark, docs, empty):
     assert cuckoo.dedup(spark, empty).count() == 0
 
 
+def test_exact_dedup_keeps_one_row_of_a_group(spark):
+    rows = [(5, "a b", "x"), (5, "ab", "y"), (6, "ab", "z"), (None, "c d", "x"), (None, "cd", "y"), (None, "", "e"), (None, None, "e")]
+    rows += [(7, "e f", "x"), (7, "e f", "x"), (7, "ef ", "y"), (8, "ef", "x"), (9, "g", "x")]
+    kept = cuckoo.keep_rows(spark, spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    got = sorted(((r.doc_id, r.text, r.source) for r in kept.collect()), key=str)
+    assert len(got) == 5 and all(r in rows for r in got)
+    assert {(5, "a b", "x"), (None, "c d", "x"), (9, "g", "x")} < set(got) and sorted(r[0] or 0 for r in got) == [0, 0, 5, 7, 9]
+
+
 def test_cuckoo_deletes_and_resizes(spark, docs):
     index, keys = cuckoo.Cuckoo(4), [hashlib.sha256(str(i).encode()).digest() for i in range(3000)]
     for i, k in enumerate(keys):
