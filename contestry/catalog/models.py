@@ -135,9 +135,8 @@ def linear_contributions(spark, sf):
 
 @query("rating_search")
 def rating_search(spark, sf):
-    """Every combination of two values per parameter over all leagues."""
-    cands = E.candidates({"k": [10, 20], "home_bonus": [0, 30], "season_regression": [0.1, 0.33], "use_margin": [False, True]})
-    t = L.tune_ratings(S.stored(spark, sf)["matches"], cands, S.FIRST_VALID, S.DEV_LAST)
+    """Every candidate of the whole grid over all leagues."""
+    t = L.tune_ratings(S.stored(spark, sf)["matches"], E.candidates(E.ELO_GRID), S.FIRST_VALID, S.DEV_LAST)
     return out(t, "cand", "k", "home_bonus", "season_regression", "use_margin", "mean_log_loss")
 
 
@@ -211,7 +210,7 @@ def score_frame_query(spark, sf):
 
 @query("score_regression")
 def score_regression(spark, sf):
-    return out(L.evaluate_score_models(_score(spark, sf), S.FIRST_VALID, S.DEV_LAST, S.HOLDOUT, kinds=("ridge",)), digits=4)
+    return out(L.evaluate_score_models(_score(spark, sf), S.FIRST_VALID, S.DEV_LAST, S.HOLDOUT), digits=4)
 
 
 @query("venue_clusters")
