@@ -3,7 +3,8 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from contestry.llm import chat, cuckoo, fingerprint, lines, minhash, mixing, packing, pst, quality, toxicity
+from contestry.llm import align, bpe, chat, cuckoo, fingerprint, lines, minhash, mixing, packing, periodic, pst, quality, toxicity
+from contestry.llm.words import SPACE_CLASS
 
 
 def documents(spark, sf_dir):
@@ -59,7 +60,44 @@ def op10_near_dedup(spark, sf_dir):
     return minhash.near_duplicates(spark, documents(spark, sf_dir))
 
 
-Q = {f.__name__: f for f in (op1_suffix_tree, op2_packing, op3_exact_dedup, op4_toxicity, op5_quality, op6_mixing, op7_chat_format, op8_line_dedup, op9_fingerprint, op10_near_dedup)}
+def op11_bpe(spark, sf_dir):
+    ranks = {"ranks_path": public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "pattern": public_tokenizers.PATTERN}
+    out = bpe.decode(bpe.encode(documents(spark, sf_dir), **ranks), **ranks)
+    return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("data", 256).alias("decoded_sha256"))
+
+
+def op12_alignment(spark, sf_dir):
+    vocabularies = {"ranks_path": public_tokenizers.path("byte_bpe_50k.tiktoken"), "pattern": public_tokenizers.PATTERN, "model_path": public_tokenizers.path("piece_bpe_32k.model")}
+    out = align.alignment(spark, documents(spark, sf_dir), **vocabularies)
+    digest = F.when(F.col("n_a") > 0, F.sha2(F.encode("groups", "UTF-8"), 256)).otherwise("")
+    return out.withColumn("groups_sha256", digest).drop("groups")
+
+
+def _with_periods(docs):
+    """Every tenth document, by the checksum of its id, repeats a stretch of its words up to its end."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.filter(F.split("text", SPACE_CLASS + "+"), lambda w: w != "")
+    docs = docs.select("doc_id", "text", F.when(h % 10 == 0, words).alias("words"), F.floor(h / 10).alias("g"))
+    docs = docs.withColumn("n", F.size("words")).withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")))
+    docs = docs.withColumn("p", 1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8)))
+    n, a, p = F.col("n"), F.col("a"), F.col("p")
+    again = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get("words", F.when(i < a, i).otherwise(a + (i - a) % p).cast("int")))
+    return docs.select("doc_id", F.when(n > 0, F.concat_ws(" ", again)).otherwise(F.col("text")).alias("text"))
+
+
+def op13_periodic(spark, sf_dir):
+    out = periodic.periodic_runs(_with_periods(documents(spark, sf_dir)))
+    # Runs come by start and period; exponents are compared as products, so equal ones leave the first.
+    best = F.expr("aggregate(runs, runs[0], (a, r) -> IF(r.length * a.period > a.length * r.period, r, a))")
+    lines = F.concat_ws("", F.transform("runs", lambda r: F.concat(r["start"], F.lit(","), r["length"], F.lit(","), r["period"], F.lit("\n"))))
+    out = out.withColumn("best", F.when(F.size("runs") > 0, best))
+    return out.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period", F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(F.encode(lines, "UTF-8"), 256).alias("runs_sha256"), F.sha2(F.encode("collapsed", "UTF-8"), 256).alias("collapsed_sha256"),
+    )
+
+
+Q = {f.__name__: f for f in (op1_suffix_tree, op2_packing, op3_exact_dedup, op4_toxicity, op5_quality, op6_mixing, op7_chat_format, op8_line_dedup, op9_fingerprint, op10_near_dedup, op11_bpe, op12_alignment, op13_periodic)}
 
 _BARE = r"regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')"
 _KEY = r"translate(regexp_replace(regexp_replace(line, '^[\x20\x09-\x0D]+', ''), '[\x20\x09-\x0D]+$', ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"

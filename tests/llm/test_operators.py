@@ -2,14 +2,17 @@
 
 import hashlib
 import math
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 import numpy as np
+import public_tokenizers
 import pytest
 
-from contestry.llm import chat, cuckoo, fingerprint, lines, minhash, mixing, packing, pst, queries, quality, toxicity
+from contestry.llm import align, bpe, chat, cuckoo, fingerprint, lines, minhash, mixing, packing, periodic, pst, queries, quality, toxicity
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 FOLD = str.maketrans({chr(i): chr(i + 32) for i in range(65, 91)})
@@ -289,3 +292,194 @@ def test_near_duplicates(spark, docs, empty):
     got = {r.doc_id: r for r in minhash.near_duplicates(spark, table).collect()}
     assert {i: (g.n_shingles, g.component_id, g.kept) for i, g in got.items()} == {i: (len(sets[i]), root(i), root(i) == i) for i in ids}
     assert minhash.keep_rows(spark, table).columns == table.columns and minhash.near_duplicates(spark, empty).count() == 0
+
+
+@pytest.fixture(scope="module")
+def vocabularies():
+    return {"ranks_path": public_tokenizers.path("byte_bpe_50k.tiktoken"), "pattern": public_tokenizers.PATTERN, "model_path": public_tokenizers.path("piece_bpe_32k.model")}
+
+
+def odd_texts():
+    """Texts that put cuts, white space and bytes beyond ASCII next to each other."""
+    rng = random.Random(5)
+    letters = "ab1 '\n\t.,!?sé日　 \xa0\x1c\x85_-9'llv re<s>▁"
+    return ["".join(rng.choice(letters) for _ in range(rng.randint(0, 60))) for _ in range(400)]
+
+
+def test_bpe_chunks_are_exact():
+    """Tiny chunks and runs give the library's ids of the whole text."""
+    small = bpe.Ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, chunk=7, long_run=3)
+    for t in odd_texts():
+        ids = small.encode(t)
+        assert ids.tolist() == small.encoding.encode_ordinary(t) and small.decode(ids) == t.encode()
+        assert "".join(part for part, _ in small.chunks(t)) == t
+    big = bpe.Ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    for t in (" " * 1_200_000, " " * 1_200_000 + "a", "a " * 200_000 + "\n" * 1_200_000 + "b c", "<|endoftext|>"):
+        assert big.decode(big.encode(t)) == t.encode()
+    with pytest.raises(Exception):  # noqa: B017
+        big.decode(np.array([50256], "<u4"))
+
+
+def test_bpe(spark, docs, empty):
+    got = {r.doc_id: r for r in docs.transform(_op11).collect()}
+    ranks = bpe.Ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    for i, t in texts(docs).items():
+        ids = ranks.encoding.encode_ordinary(t or "")
+        assert got[i].n_tokens == len(ids) and got[i].data == (t or "").encode()
+        assert got[i].ids == np.array(ids, "<u4").tobytes()
+    odd = spark.createDataFrame([(None, "a b"), (1, "a b"), (1, "a b"), (2, None)], "doc_id long, text string")
+    assert sorted((str(r.doc_id), r.n_tokens) for r in _op11(odd).collect()) == [("1", 2), ("1", 2), ("2", 0), ("None", 2)]
+    assert _op11(empty).count() == 0
+    path = {"ranks_path": public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "pattern": public_tokenizers.PATTERN}
+    assert bpe.encode(odd, **path, packed=False).where("doc_id = 1").first().ids == ranks.encoding.encode_ordinary("a b")
+
+
+def _op11(docs):
+    path = {"ranks_path": public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "pattern": public_tokenizers.PATTERN}
+    return bpe.decode(bpe.encode(docs, **path), **path)
+
+
+def _overlaps(a, b):
+    """(links, groups) by comparing all tokens of a text with all others."""
+    def spans(tokens):
+        ends = np.cumsum([len(x) for x in tokens]).tolist()
+        return list(zip([0, *ends], ends, strict=False))
+
+    sa, sb = spans(a), spans(b)
+    links = [(i, j) for i, x in enumerate(sa) for j, y in enumerate(sb) if x[0] < y[1] and y[0] < x[1]]
+    cuts = sorted({e for _, e in sa} & {e for _, e in sb})
+    groups = [([i for i, s in enumerate(sa) if p <= s[0] < c], [j for j, s in enumerate(sb) if p <= s[0] < c]) for p, c in zip([0, *cuts], cuts, strict=False)]
+    return links, groups
+
+
+def test_alignment(spark, empty, vocabularies):
+    from sentencepiece import SentencePieceProcessor
+    from tokenizers import Tokenizer
+
+    a_model = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    a_model.encode_special_tokens = True
+    b_model = SentencePieceProcessor(model_file=vocabularies["model_path"])
+    a_bytes = bpe.Ranks(vocabularies["ranks_path"], vocabularies["pattern"]).token_bytes()
+    rows = [*enumerate([*odd_texts()[:150], "", None, "word " * 300, "the cat sat on the mat"]), (None, "the cat"), (7, "the cat"), (7, "the cat")]
+    want, pairs = [], Counter()
+    for i, t in rows:
+        spaced = " " + (t or "")
+        a = a_model.encode(spaced, add_special_tokens=False).ids if t else []
+        b = b_model.encode(t) if t else []
+        bb = [bytes([int(p[3:5], 16)]) if b_model.is_byte(x) else p.replace("▁", " ").encode() for x in b for p in [b_model.id_to_piece(x)]]
+        if b"".join(bb) != spaced.encode():
+            a = b = bb = []
+        links, groups = _overlaps([a_bytes[x] for x in a], bb)
+        pairs.update((a[x], b[y]) for x, y in links)
+        want.append((i, a, b, [(a[x], b[y]) for x, y in links], groups))
+    assert sum(not x[1] for x in want) > 3  # texts that hold the model's own space mark among them
+    top = defaultdict(int)
+    for (_, y), n in pairs.items():
+        top[y] = max(top[y], n)
+    expected = []
+    for i, a, b, links, groups in want:
+        text = ";".join(",".join(str(a[x]) for x in ga) + "|" + ",".join(str(b[y]) for y in gb) for ga, gb in groups)
+        expected.append((str(i), len(a), len(b), len(groups), len(links), sum(pairs[p] == top[p[1]] for p in links), sum(pairs[p] for p in links), text))
+    frame = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, groups int").repartition(3)
+    got = align.alignment(spark, frame, **vocabularies)
+    assert sorted((str(r[0]), *r[1:]) for r in got.collect()) == sorted(expected)
+    tokens = {str(r.doc_id): r for r in align.token_groups(frame, **vocabularies).collect()}
+    for i, a, b, _, groups in want:
+        r = tokens[str(i)]
+        if i != 7:
+            assert (r.a_ids, r.b_ids) == (a, b)
+            assert r.a_groups == [g for g, (x, _) in enumerate(groups) for _ in x] and r.b_groups == [g for g, (_, y) in enumerate(groups) for _ in y]
+    assert align.alignment(spark, empty, **vocabularies).count() == 0
+
+
+def test_alignment_of_long_texts(vocabularies):
+    """Cutting a text leaves its ids as they are."""
+    long = " ".join(odd_texts() + ["plain words follow here"] * 50)
+    whole = align.Pieces(vocabularies["model_path"], chunk=1 << 30)
+    assert align.Pieces(vocabularies["model_path"], chunk=20).encode(long) == whole.encode(long)
+
+
+def brute_runs(ws, least=24):
+    out = {}
+    for q in range(1, len(ws) // 3 + 1):
+        i = 0
+        while i + q < len(ws):
+            j = i
+            while j + q < len(ws) and ws[j] == ws[j + q]:
+                j += 1
+            if j > i and j - i + q >= max(least, 3 * q):
+                out.setdefault((i, j + q), q)
+            i = j + 1
+    return sorted((s, e - s, q) for (s, e), q in out.items())
+
+
+def periodic_words(rng):
+    """Words with nested repeats, repeats with an error, and long flat parts."""
+    letters = rng.choice([1, 2, 3, 5, 50])
+
+    def part(n, depth):
+        if not depth or n < 3:
+            return [str(rng.randrange(letters)) for _ in range(n)]
+        root = part(rng.randint(1, n // 3 + 1), depth - 1) + ["0"] * rng.choice([0, 0, 7, 30])
+        out = root * rng.randint(2, 5) + root[: rng.randrange(len(root))]
+        if rng.random() < 0.3:
+            out[rng.randrange(len(out))] = "x"
+        return out
+
+    out = []
+    while len(out) < rng.randint(0, 700):
+        out += part(rng.randint(1, 250), rng.randint(0, 3)) + [str(rng.random()) for _ in range(rng.choice([0, 1, 20]))]
+    return out[:1200]
+
+
+def test_periodic_runs(spark, docs, empty):
+    rng = random.Random(2)
+    rows = [(i, rng.choice([" ", "\n \t"]).join(periodic_words(rng)), "r") for i in range(120)] + [(500, None, ""), (501, " \n", ""), (None, "a " * 30, ""), (502, "a " * 30, ""), (502, "a " * 30, "")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, runs string")
+    found = 0
+    got = sorted(((str(r.doc_id), r.n_words, [tuple(x) for x in r.runs], r.collapsed) for r in periodic.periodic_runs(frame).collect()), key=repr)
+    want = []
+    for i, t, _ in rows:
+        ws = WORD.findall(t or "")
+        runs = brute_runs(ws)
+        gone = {k for s, n, q in runs for k in range(s + q, s + n)}
+        want.append((str(i), len(ws), runs, " ".join(w for k, w in enumerate(ws) if k not in gone)))
+        found += len(runs)
+    assert got == sorted(want, key=repr) and found > 100
+    assert periodic.periodic_runs(empty).count() == 0
+    with pytest.raises(ValueError):
+        periodic.Finder(repeats=2)
+
+
+def test_periodic_query(spark, sf):
+    """The whole query against brute force, with the planted periods."""
+    got = {r.doc_id: r for r in queries.op13_periodic(spark, sf).collect()}
+    assert any(r.n_runs for r in got.values())
+    for i, t in texts(spark.read.parquet(f"{sf}/documents.parquet")).items():
+        ws = WORD.findall(t or "")
+        h = zlib.crc32(str(i).encode())
+        g, n = h // 10, len(ws)
+        if h % 10 == 0 and n:
+            a = g % n
+            p = 1 + (n - a) // (3 + g % 8)
+            ws = [ws[k if k < a else a + (k - a) % p] for k in range(n)]
+        runs = brute_runs(ws)
+        gone = {k for s, m, q in runs for k in range(s + q, s + m)}
+        best = min(runs, key=lambda r: (-Fraction(r[1], r[2]), r[0], r[2]), default=(None, None, None))
+        r = got[i]
+        assert (r.n_runs, r.start, r.length, r.period) == (len(runs), *best)
+        assert r.exponent_milli == (1000 * best[1] // best[2] if runs else None)
+        assert r.runs_sha256 == hashlib.sha256("".join("%d,%d,%d\n" % x for x in runs).encode()).hexdigest()
+        assert r.collapsed_sha256 == hashlib.sha256(" ".join(w for k, w in enumerate(ws) if k not in gone).encode()).hexdigest()
+
+
+def test_periodic_hash_collisions(monkeypatch):
+    """With hashes of a few bits the check by words still leaves true runs only."""
+    plain = periodic.Finder._hash
+    monkeypatch.setattr(periodic.Finder, "_hash", lambda self, at, n: plain(self, at, n) & np.uint64(7))
+    rng = random.Random(4)
+    for _ in range(5):
+        ws = periodic_words(rng)
+        ids = np.array([hash(w) & 0xFFFFFF for w in ws], np.int64)
+        got = [tuple(r[1:]) for r in periodic.Finder()(ids, np.array([0, len(ids)])).tolist()]
+        assert set(got) <= set(brute_runs(ids.tolist()))
