@@ -225,7 +225,7 @@ def dedup(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id", text: st
 
 
 def keep_rows(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row of each group with all its columns: of the rows like the best in doc_id and length, the first by a hash of the row's columns."""
+    """One row of each group with all its columns: of the rows like the best in doc_id and length, the first by a hash of the row's columns, whatever their names."""
     rows, groups = _indexed(spark, docs, doc_id, text)
     best = groups.select(F.col("digest").alias("_digest"), F.col("keep_id").alias("_id"), F.col("keep_chars").alias("_chars"))
 
@@ -235,13 +235,13 @@ def keep_rows(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id", text
     found = rows.join(best, alike(F.col("digest"), F.col("doc_id"), F.col("n_chars"))).groupBy("_digest", "_id", "_chars").agg(F.count(F.lit(1)).alias("_n"))
     best = Stage(spark, "exact-dedup").write(found, "best")
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    with_keys = docs.withColumn("_sha", _digest(body)).withColumn("_length", F.char_length(body).cast("long"))
-    same = alike(F.col("_sha"), F.col(doc_id).cast("long"), F.col("_length"))
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    kept = with_keys.join(best.where("_n = 1"), same, "left_semi").select(*columns)
+    # The row travels as one struct, so its columns may have any names.
+    columns = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
+    with_keys = docs.select(columns, _digest(body).alias("_sha"), F.col(doc_id).cast("long").alias("_own"), F.char_length(body).cast("long").alias("_length"))
+    same = alike(F.col("_sha"), F.col("_own"), F.col("_length"))
+    kept = with_keys.join(best.where("_n = 1"), same, "left_semi").select("_row.*")
     repeated = best.where("_n > 1")
     if repeated.isEmpty():
         return kept
-    row = F.struct(*columns)
-    one = with_keys.join(repeated, same, "left_semi").groupBy("_sha").agg(F.min_by(row, F.xxhash64(F.to_json(row))).alias("_row"))
-    return kept.union(one.select(*[F.col(f"_row.`{c}`").alias(c) for c in docs.columns]))
+    one = with_keys.join(repeated, same, "left_semi").groupBy("_sha").agg(F.min_by("_row", F.xxhash64(F.to_json("_row"))).alias("_row"))
+    return kept.union(one.select("_row.*"))

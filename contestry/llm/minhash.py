@@ -254,4 +254,6 @@ def keep_rows(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id", **op
     """``docs`` without the documents that are not their component's smallest, all columns kept."""
     gone = near_duplicates(spark, docs, doc_id=doc_id, **options).where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
     gone = Stage(spark, "near-dedup").write(gone, "gone")
-    return docs.join(gone, F.col(doc_id).cast("long") == F.col("_gone"), "left_anti")
+    # The row travels as one struct, so its columns may have any names.
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(doc_id).cast("long").alias("_own"))
+    return rows.join(gone, F.col("_own") == F.col("_gone"), "left_anti").select("_row.*")

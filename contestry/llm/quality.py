@@ -1,9 +1,8 @@
 """Quality by positive-unlabelled learning with the non-negative unbiased risk.
 
 Trusted positives are labelled rows of good quality; everything else that is learned from is unlabelled web
-text, and no negative label is used. The class prior is estimated first: a classifier of positives against
-unlabelled text is fitted on one half of both samples, and on the other half the smallest ratio of the shares
-above a cut, unlabelled by positive, is the prior. Then a small network minimises
+text, and no negative label is used. The class prior is estimated first, from below (``class_prior``). Then a
+small network minimises
 prior * R_p(+1) + max(0, R_u(-1) - prior * R_p(-1)), and turns its gradient around where the second part falls
 below zero. Its sigmoid is the score.
 
@@ -84,6 +83,15 @@ class Net:
     def logits(self, x: np.ndarray) -> np.ndarray:
         return self._forward(x)[0]
 
+    def state(self) -> list[np.ndarray]:
+        return [self.mean, self.scale, *self.p]
+
+    @classmethod
+    def of(cls, state: list[np.ndarray]) -> Net:
+        net = cls.__new__(cls)
+        net.mean, net.scale, *net.p = state
+        return net
+
     def _forward(self, x):
         z = np.clip((x - self.mean) / self.scale, -8, 8)
         h = np.tanh(z @ self.p[0] + self.p[1])
@@ -112,24 +120,34 @@ def _descend(net: Net, gradients, steps: int) -> None:
 
 
 def class_prior(positive: np.ndarray, unlabelled: np.ndarray, seed: int = 5) -> float:
-    """The share of positives in the unlabelled sample: the best bin of a positive-against-unlabelled classifier."""
+    """A lower confidence bound of the share of positives in the unlabelled sample.
+
+    Each half of both samples trains a positive-against-unlabelled classifier and the other half is ranked by it. Above any
+    cut the share of unlabelled rows, divided by that of positives, is at least the prior; the cut with the least upper bound
+    (95 %, whatever the distributions) is taken, and there the lower bound. The two halves' bounds are averaged. A prior that is
+    too large lets the negative part of the risk vanish, so that all rows become positive; one that is too small costs little.
+    """
+    halves = [(positive[i::2], unlabelled[i::2]) for i in (0, 1)]
+    return float(np.clip(np.mean([_prior_bound(*halves[i], *halves[1 - i], seed) for i in (0, 1)]), 0.05, 0.99))
+
+
+def _prior_bound(positive, unlabelled, other_positive, other_unlabelled, seed: int) -> float:
     r = np.random.default_rng(seed)
-    net = Net(np.concatenate([positive[::2], unlabelled[::2]]), seed)
+    net = Net(np.concatenate([positive, unlabelled]), seed)
 
     def gradients():
-        p, u = positive[::2][r.integers(len(positive[::2]), size=BATCH)], unlabelled[::2][r.integers(len(unlabelled[::2]), size=BATCH)]
+        p, u = positive[r.integers(len(positive), size=BATCH)], unlabelled[r.integers(len(unlabelled), size=BATCH)]
         a = net.gradient(p, lambda f: (_sigmoid(f) - 1) / BATCH)
         b = net.gradient(u, lambda f: _sigmoid(f) / BATCH)
         return [x + y for x, y in zip(a, b, strict=True)]
 
     _descend(net, gradients, 1000)
-    p, u = np.sort(net.logits(positive[1::2])), np.sort(net.logits(unlabelled[1::2]))
-    above = lambda z, cut: 1 - np.searchsorted(z, cut) / max(1, len(z))
+    p, u = np.sort(net.logits(other_positive)), np.sort(net.logits(other_unlabelled))
     cuts = np.unique(np.quantile(p, np.linspace(0, 0.9, 181)))
-    slack = (np.log(40) / 2 / max(1, len(u))) ** 0.5 + (np.log(40) / 2 / max(1, len(p))) ** 0.5
-    bound = [(above(u, c) + slack) / max(above(p, c), 1e-9) for c in cuts]
-    best = cuts[int(np.argmin(bound))]
-    return float(np.clip(above(u, best) / max(above(p, best), 1e-9), 0.05, 0.99))
+    above_p, above_u = (1 - np.searchsorted(z, cuts) / len(z) for z in (p, u))
+    slack_p, slack_u = ((np.log(40) / 2 / len(z)) ** 0.5 for z in (p, u))
+    best = int(np.argmin((above_u + slack_u) / np.maximum(above_p - slack_p, 1e-9)))
+    return (above_u[best] - slack_u) / (above_p[best] + slack_p)
 
 
 def train(positive: np.ndarray, unlabelled: np.ndarray, prior: float, seed: int = 5) -> Net:
@@ -189,15 +207,14 @@ def predictions(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> Data
     """One row per document: doc_id, held_out, score, predicted, class_prior."""
     docs = docs.select("doc_id", "text")
     found = fit(docs, labels)
-    model = spark.sparkContext.broadcast(found)
+    # Plain arrays, so workers need no copy of the package to read them.
+    model = spark.sparkContext.broadcast(found[0].state() if found else None)
 
     def run(batches):
         words = Words()
+        net = None if model.value is None else Net.of(model.value)
         for batch in pieces(batches, "text"):
-            if model.value is None:
-                score = np.zeros(batch.num_rows)
-            else:
-                score = _sigmoid(model.value[0].logits(features(words, batch.column("text"))))
+            score = np.zeros(batch.num_rows) if net is None else _sigmoid(net.logits(features(words, batch.column("text"))))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(score)], names=["doc_id", "score"])
 
     out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, score double")

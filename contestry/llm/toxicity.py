@@ -17,15 +17,18 @@ hash. The model has a fixed size. Every text is scored whole, where it is read,
 Null and empty texts get the score of no words. Rows without a label are scored, not learned from; null
 labels are skipped; a document labelled twice counts as toxic if any label says so. Repeated rows get equal
 scores. With no labelled rows of both classes every score is 0. Empty tables give empty results. Extra
-columns are ignored by :func:`scored` and kept by :func:`keep_rows`.
+columns are ignored by :func:`predictions` and kept by :func:`keep_rows`, whatever their names.
 """
 
 from __future__ import annotations
 
+import pickle
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from contestry.llm.words import Words, pieces
 
@@ -33,6 +36,7 @@ MAX_TOXIC, MAX_CLEAN = 3000, 5000
 PREFIXES = (3, 4, 5, 6)
 TABLE, DIM, WIDTHS, FILTERS = 1 << 18, 8, (1, 2, 3), 8
 EPOCHS, BATCH, RATE = 6, 64, 0.01
+PART = 1 << 16
 #: Frequent function words that tell four languages apart; a text is of the one it has most of.
 FUNCTION_WORDS = {
     "en": "the of and to in is that it for was with by this are from".split(),
@@ -87,11 +91,12 @@ class Network:
         self.thresholds = np.zeros(len(LANGUAGES), np.float32)
 
     def forward(self, features: np.ndarray, offsets: np.ndarray, with_places: bool = False):
-        """(logits, pooled values, places of the maxima); every text is padded by the widest filter less one."""
+        """(logits, pooled values, places of the maxima); every text is padded by the widest filter less one, and an empty one is a word of padding."""
         pad = max(WIDTHS) - 1
         n = np.diff(offsets)
-        starts = offsets[:-1] + pad * np.arange(len(n))
-        rows = np.zeros((offsets[-1] + pad * len(n) + pad, features.shape[1]), np.int32)
+        room = np.maximum(n, 1) + pad
+        starts = np.cumsum(room) - room
+        rows = np.zeros((int(room.sum()) + pad, features.shape[1]), np.int32)
         inside = np.repeat(starts - offsets[:-1], n) + np.arange(offsets[-1])
         rows[inside] = features
         vectors = self.p["embedding"][rows[:, 0]]
@@ -116,9 +121,10 @@ class Network:
         logits = np.maximum(pooled, 0) @ self.p["out"] + self.p["shift"][0]
         return (logits, pooled, places, rows, vectors) if with_places else logits
 
-    def gradients(self, features, offsets, labels) -> tuple[dict, np.ndarray, np.ndarray]:
+    def gradients(self, features, offsets, labels, total: int) -> tuple[dict, np.ndarray, np.ndarray]:
+        """The share of these texts in the gradient of a batch of ``total``: dense parts, embeddings met, their sums."""
         logits, pooled, places, rows, vectors = self.forward(features, offsets, True)
-        error = ((1 / (1 + np.exp(-logits)) - labels) / len(labels)).astype(np.float32)
+        error = ((1 / (1 + np.exp(-logits)) - labels) / total).astype(np.float32)
         grads = {k: np.zeros_like(v) for k, v in self.p.items() if k != "embedding"}
         touched, moves = [], []
         grads["out"] = error @ np.maximum(pooled, 0)
@@ -134,12 +140,34 @@ class Network:
                 for c in range(rows.shape[1]):
                     touched.append(rows[at, c].ravel())
                     moves.append(to.reshape(-1, DIM))
-        numbers, place = np.unique(np.concatenate(touched), return_inverse=True)
-        sums = np.zeros((len(numbers), DIM), np.float32)
-        np.add.at(sums, place, np.concatenate(moves))
+        numbers, sums = _summed(touched, moves)
         sums[numbers == 0] = 0
         return grads, numbers, sums
 
+    def batch_gradients(self, samples: list[np.ndarray], labels: np.ndarray) -> tuple[dict, np.ndarray, np.ndarray]:
+        """The gradient of a batch, from parts of about ``PART`` words, one text at least: memory does not follow the batch's longest texts."""
+        sizes = np.array([len(x) for x in samples])
+        part = np.cumsum(sizes) // PART
+        grads, touched, moves = {}, [], []
+        for k in np.unique(part):
+            at = np.flatnonzero(part == k)
+            offsets = np.concatenate([[0], np.cumsum(sizes[at])])
+            own, numbers, sums = self.gradients(np.concatenate([samples[i] for i in at]), offsets, labels[at], len(labels))
+            grads = {name: g + grads[name] if grads else g for name, g in own.items()}
+            touched.append(numbers)
+            moves.append(sums)
+        return grads, *(_summed(touched, moves) if len(touched) > 1 else (touched[0], moves[0]))
+
+    def state(self) -> bytes:
+        """The model as plain arrays, to send and to keep."""
+        return pickle.dumps((self.p, self.thresholds))
+
+    @classmethod
+    def of(cls, state: bytes) -> Network:
+        net = cls.__new__(cls)
+        net.p, net.thresholds = pickle.loads(state)
+        return net
+
     def scores(self, features, offsets, languages) -> np.ndarray:
         if not len(languages):
             return np.zeros(0)
@@ -147,6 +175,14 @@ class Network:
         return 1 / (1 + np.exp(-np.clip(logits, -30, 30).astype(float)))
 
 
+def _summed(numbers: list[np.ndarray], values: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct numbers with the sums of their rows of values."""
+    numbers, place = np.unique(np.concatenate(numbers), return_inverse=True)
+    sums = np.zeros((len(numbers), DIM), np.float32)
+    np.add.at(sums, place, np.concatenate(values))
+    return numbers, sums
+
+
 def train(samples: list[tuple[np.ndarray, int]], languages: np.ndarray, labels: np.ndarray, clean_weight: float = 1.0, seed: int = 11) -> Network:
     """A network from (features, guessed language, label) of the sampled texts. A fifth is kept for the thresholds.
 
@@ -176,8 +212,7 @@ def train(samples: list[tuple[np.ndarray, int]], languages: np.ndarray, labels:
         order = r.permutation(fit)
         for a in range(0, len(order), BATCH):
             batch = order[a : a + BATCH]
-            offsets = np.concatenate([[0], np.cumsum([len(samples[i]) for i in batch])])
-            grads, numbers, sums = net.gradients(np.concatenate([samples[i] for i in batch]), offsets, labels[batch])
+            grads, numbers, sums = net.batch_gradients([samples[i] for i in batch], labels[batch])
             moved[numbers] += (sums**2).sum(1)
             net.p["embedding"][numbers] -= RATE * sums / np.sqrt(moved[numbers])[:, None]
             step += 1
@@ -216,58 +251,75 @@ def _encode(batches):
         yield pa.RecordBatch.from_arrays([batch.column("label").cast(pa.int32()), lists, pa.array(languages)], names=["label", "features", "language"])
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", doc_id: str = "doc_id", text: str = "text", seed: int = 11) -> Network | None:
-    """The classifier from labelled rows outside the held-out fold; None if a class is missing."""
+def _trainer(label_counts: tuple[int, int], seed: int):
+    """Trains on a whole sample in one task; the result is the model's only row, or none if a class is missing."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        y = rows["label"].to_numpy().astype(np.int64)
+        if not len(y) or y.min() == y.max():
+            return pa.table({"model": pa.array([], pa.binary())})
+        width = 1 + len(PREFIXES)
+        samples = [x for chunk in rows["features"].chunks for x in _views(chunk, width)]
+        # The order in which rows arrive must not matter.
+        order = sorted(range(len(y)), key=lambda i: (samples[i][:50].tobytes(), len(samples[i]), y[i]))
+        order = np.random.default_rng(seed).permutation(np.array(order))
+        shares = [counted / min(limit, max(1, counted)) for counted, limit in zip(label_counts, (MAX_CLEAN, MAX_TOXIC), strict=True)]
+        net = train([samples[i] for i in order], rows["language"].to_numpy()[order], y[order], shares[0] / shares[1], seed)
+        return pa.table({"model": pa.array([net.state()], pa.binary())})
+
+    return run
+
+
+def _views(lists: pa.ListArray, width: int) -> list[np.ndarray]:
+    ends, flat = np.asarray(lists.offsets), np.asarray(lists.values)
+    return [flat[a:b].reshape(-1, width) for a, b in zip(ends, ends[1:], strict=False)]
+
+
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", doc_id: str = "doc_id", text: str = "text", seed: int = 11) -> bytes | None:
+    """The classifier's state from labelled rows outside the held-out fold; None if a class is missing.
+
+    The sample has one row for each labelled id: of rows that share an id, the greatest text. It is trained on in one task of an
+    executor, so the driver holds the model only.
+    """
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
     known = known.where(~held_out(F.col("doc_id"))).withColumn("_draw", F.xxhash64(F.lit(seed), "doc_id"))
     counts = dict(known.groupBy("label").count().collect())
-    shares = counts.get(0, 0) / min(MAX_CLEAN, max(1, counts.get(0, 0))), counts.get(1, 0) / min(MAX_TOXIC, max(1, counts.get(1, 0)))
     chosen = known.where("label = 1").orderBy("_draw", "doc_id").limit(MAX_TOXIC).union(known.where("label = 0").orderBy("_draw", "doc_id").limit(MAX_CLEAN))
-    chosen = chosen.select(F.col("doc_id").alias("_id"), "label", "_draw")
+    chosen = chosen.select(F.col("doc_id").alias("_id"), "label")
     texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     # The sample's bound makes it small enough to send to the texts.
-    sample = texts.join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("text", "label")
-    rows = sample.mapInArrow(_encode, "label int, features array<int>, language int").toArrow()
-    y = rows["label"].to_numpy().astype(np.int64)
-    if not len(y) or y.min() == y.max():
-        return None
-    width = 1 + len(PREFIXES)
-    lists = rows["features"].combine_chunks()
-    ends, flat = np.asarray(lists.offsets), np.asarray(lists.values)
-    samples = [flat[a:b].reshape(-1, width) for a, b in zip(ends, ends[1:], strict=False)]
-    # The order in which rows arrive must not matter.
-    order = sorted(range(len(y)), key=lambda i: (samples[i][:50].tobytes(), len(samples[i]), y[i]))
-    order = np.random.default_rng(seed).permutation(np.array(order))
-    return train([samples[i] for i in order], rows["language"].to_numpy()[order], y[order], shares[0] / shares[1], seed)
-
-
-def scored(spark: SparkSession, docs: DataFrame, net: Network | None, keep: list[str], text: str = "text") -> DataFrame:
-    """The columns ``keep`` of ``docs`` with ``score`` and ``predicted`` for every row."""
-    model = spark.sparkContext.broadcast(net)
-    columns = keep
-    rest = [c for c in columns if c != text]
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in rest]).alias("_row"), F.col(text).cast("string").alias("text"))
-    with_text = text in keep
-    schema = f"_row {packed.schema['_row'].dataType.simpleString()}, {'text string, ' if with_text else ''}score double"
+    sample = texts.join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).groupBy("_id", "label").agg(F.max("text").alias("text"))
+    encoded = sample.select("text", "label").mapInArrow(_encode, "label int, features array<int>, language int")
+    model = encoded.groupBy().applyInArrow(_trainer((counts.get(0, 0), counts.get(1, 0)), seed), "model binary").first()
+    return bytes(model.model) if model else None
+
+
+def _scored(spark: SparkSession, docs: DataFrame, state: bytes | None, text: str, with_text: bool) -> DataFrame:
+    """``_row`` (all columns but the text), ``text`` if wanted, and ``score`` of every row; columns of any name stay apart."""
+    model = spark.sparkContext.broadcast(state)
+    rest = [F.col(f"`{c}`") for c in docs.columns if c != text]
+    packed = docs.select(F.struct(*rest).alias("_row"), F.col(f"`{text}`").cast("string").alias("text"))
+    schema = StructType([packed.schema["_row"], *([packed.schema["text"]] if with_text else []), StructField("score", DoubleType())])
 
     def run(batches):
         features = Features()
+        net = None if model.value is None else Network.of(model.value)
         for batch in pieces(batches, "text", 2 << 20):
-            net = model.value
             score = np.zeros(batch.num_rows) if net is None else net.scores(*features(batch.column("text")))
             names = ["_row", "text"] if with_text else ["_row"]
             yield pa.RecordBatch.from_arrays([*map(batch.column, names), pa.array(score)], names=[*names, "score"])
 
-    out = packed.mapInArrow(run, schema)
-    return out.select(*[(F.col("text") if c == text else F.col(f"_row.`{c}`")).alias(c) for c in columns], "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return packed.mapInArrow(run, schema)
 
 
 def predictions(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
     """One row per document: doc_id, held_out, score, predicted."""
-    net = fit(docs, labels)
-    return scored(spark, docs, net, ["doc_id"]).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+    out = _scored(spark, docs.select("doc_id", "text"), fit(docs, labels), "text", with_text=False)
+    key = F.col("_row.doc_id")
+    return out.select(key.alias("doc_id"), held_out(key).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-def keep_rows(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` without the documents found toxic, all columns kept."""
-    return scored(spark, docs, fit(docs, labels), docs.columns).where("predicted = 0").select(*docs.columns)
+def keep_rows(spark: SparkSession, docs: DataFrame, labels: DataFrame, text: str = "text") -> DataFrame:
+    """``docs`` without the documents found toxic, all columns kept, whatever their names."""
+    clean = _scored(spark, docs, fit(docs, labels, text=text), text, with_text=True).where("score < 0.5")
+    return clean.select(*[(F.col("text") if c == text else F.col(f"_row.`{c}`")).alias(c) for c in docs.columns])

@@ -2,15 +2,20 @@
 
 import hashlib
 import math
+import os
 import random
 import re
+import subprocess
+import sys
 import zlib
 from collections import Counter, defaultdict
 from fractions import Fraction
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 from contestry.llm import align, bpe, chat, cuckoo, fingerprint, lines, minhash, mixing, packing, periodic, pst, queries, quality, toxicity
 
@@ -483,3 +488,70 @@ def test_periodic_hash_collisions(monkeypatch):
         ids = np.array([hash(w) & 0xFFFFFF for w in ws], np.int64)
         got = [tuple(r[1:]) for r in periodic.Finder()(ids, np.array([0, len(ids)])).tolist()]
         assert set(got) <= set(brute_runs(ids.tolist()))
+
+
+@pytest.mark.parametrize("name, label", [("op4_toxicity", "toxic"), ("op5_quality", "quality")])
+def test_classifiers_beat_the_majority(spark, name, label):
+    """On the real labels of the held-out fold, at a size with a handful of the rarer class."""
+    sf = "/root/testdata/sf0.01"
+    known = spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", label)
+    rows = queries.Q[name](spark, sf).where("held_out").join(known, "doc_id").where(f"{label} IS NOT NULL").collect()
+    wrong = sum(r.predicted != r[label] for r in rows)
+    rare = min(sum(r[label] for r in rows), sum(1 - r[label] for r in rows))
+    assert rare >= 5 and wrong < rare
+
+
+def test_class_prior_is_a_lower_bound():
+    """Two overlapping clouds with known shares: the bound stays below the truth and comes near it as rows grow."""
+    for n, least in ((400, 0.45), (8000, 0.7)):
+        r = np.random.default_rng(n)
+        positive = r.normal(1, 1, (n // 2, 4))
+        unlabelled = np.where(r.random(n)[:, None] < 0.8, r.normal(1, 1, (n, 4)), r.normal(-1.5, 1, (n, 4)))
+        assert least < quality.class_prior(positive, unlabelled) < 0.83
+
+
+def test_gradients_in_parts(monkeypatch):
+    """Parts of a batch add up to its gradient."""
+    net, r = toxicity.Network(), np.random.default_rng(0)
+    samples = [r.integers(1, toxicity.TABLE, (n, 5)).astype(np.int32) for n in (3, 0, 40, 7, 1, 90)]
+    labels = np.array([0, 1, 1, 0, 1, 0])
+    whole = net.batch_gradients(samples, labels)
+    monkeypatch.setattr(toxicity, "PART", 10)
+    parts = net.batch_gradients(samples, labels)
+    assert all(np.allclose(whole[0][k], parts[0][k], atol=1e-6) for k in whole[0])
+    assert (whole[1] == parts[1]).all() and np.allclose(whole[2], parts[2], atol=1e-6)
+
+
+WORKER = """
+import sys
+sys.path.insert(0, {repo!r})
+from contestry.session import get_spark
+from contestry.llm import queries
+spark = get_spark("elsewhere", "local[2]", 2)
+spark.sparkContext.setLogLevel("ERROR")
+for name in ("op4_toxicity", "op5_quality", "op12_alignment", "op13_periodic"):
+    print(name, queries.Q[name](spark, {sf!r}).count())
+"""
+
+
+def test_workers_need_no_package(tmp_path, sf):
+    """Started from another folder, where workers can't import the package."""
+    repo = str(Path(__file__).resolve().parents[2])
+    env = {k: v for k, v in os.environ.items() if k not in ("PYTHONPATH", "CONTESTRY_SCRATCH")}
+    env["PYTHONPATH"] = os.pathsep.join(p for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p and p != repo)
+    done = subprocess.run([sys.executable, "-c", WORKER.format(repo=repo, sf=sf)], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert done.returncode == 0, done.stderr[-2000:]
+    assert [line.split()[1] for line in done.stdout.splitlines() if line.startswith("op")] == ["200"] * 4
+
+
+def test_rows_keep_columns_of_any_name(spark, docs, sf):
+    """Columns named like the operators' own come through every filtering operator."""
+    names = ["_row", "_sha", "_digest", "_id", "_chars", "_n", "_own", "_length", "_gone", "score", "predicted", "label", "digest", "component"]
+    table = docs.select("doc_id", "text", *[F.concat(F.lit(f"{n}-"), "doc_id").alias(n) for n in names])
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    repeated = table.union(table.where("doc_id = 903"))
+    for kept in (toxicity.keep_rows(spark, table, labels), cuckoo.keep_rows(spark, repeated), minhash.keep_rows(spark, table, size=5)):
+        assert kept.columns == table.columns
+        rows = kept.collect()
+        assert len(rows) > 20 and all(r[n] == f"{n}-{r.doc_id}" for r in rows for n in names if r.doc_id is not None)
+    assert cuckoo.keep_rows(spark, repeated).where("doc_id = 903").count() == 1
