@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contestry.llm.words import Words, longs, mix, pieces
+from contestry.llm.words import Words, give_back, longs, mix, pieces
 from contestry.session import Stage
 
 SHINGLE, THRESHOLD = 4, 80
@@ -120,7 +120,7 @@ SKETCH = "doc_id long, n long, set_a long, set_b long, buckets array<long>"
 def _sketch(size: int, rows: int, bands: int):
     def run(batches):
         words = Words()
-        for batch in pieces(batches, "text"):
+        for batch in pieces(batches, "text", 1 << 20):
             sets, offsets = shingles(*words(batch.column("text")), size)
             keys = band_hashes(signatures(sets, offsets, rows * bands), rows, bands)
             n = np.diff(offsets)
@@ -134,6 +134,7 @@ def _sketch(size: int, rows: int, bands: int):
                 [batch.column("doc_id").cast(pa.int64()), pa.array(n.astype(np.int64)), pa.array(sums[0]), pa.array(sums[1]), lists],
                 names=["doc_id", "n", "set_a", "set_b", "buckets"],
             )
+        give_back()
 
     return run
 
@@ -141,7 +142,7 @@ def _sketch(size: int, rows: int, bands: int):
 def _sets(size: int):
     def run(batches):
         words = Words()
-        for batch in pieces(batches, "text"):
+        for batch in pieces(batches, "text", 1 << 20):
             sets, offsets = shingles(*words(batch.column("text")), size)
             lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(longs(sets)))
             bits = np.zeros((len(offsets) - 1, 64 * MARKS), np.int64)
@@ -149,6 +150,7 @@ def _sets(size: int):
             marks = np.packbits((bits & 1).astype(np.uint8), axis=1).view(np.int64)
             marks = pa.ListArray.from_arrays(pa.array(np.arange(0, marks.size + 1, MARKS, dtype=np.int32)), pa.array(marks.ravel()))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), lists, marks], names=["id", "shingles", "marks"])
+        give_back()
 
     return run
 

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from contestry.llm.words import Words, pieces
+from contestry.llm.words import Words, give_back, pieces
 
 MAX_TOXIC, MAX_CLEAN = 3000, 5000
 PREFIXES = (3, 4, 5, 6)
@@ -244,7 +244,7 @@ def _threshold(logits: np.ndarray, labels: np.ndarray, clean_weight: float = 1.0
 
 def _encode(batches):
     features = Features()
-    for batch in pieces(batches, "text", 2 << 20):
+    for batch in pieces(batches, "text", 1 << 19):
         numbers, offsets, languages = features(batch.column("text"))
         width = numbers.shape[1]
         lists = pa.ListArray.from_arrays(pa.array((offsets * width).astype(np.int32)), pa.array(numbers.ravel()))
@@ -302,12 +302,14 @@ def _scored(spark: SparkSession, docs: DataFrame, state: bytes | None, text: str
     schema = StructType([packed.schema["_row"], *([packed.schema["text"]] if with_text else []), StructField("score", DoubleType())])
 
     def run(batches):
+        give_back()  # what training may have left in this worker
         features = Features()
         net = None if model.value is None else Network.of(model.value)
-        for batch in pieces(batches, "text", 2 << 20):
+        for batch in pieces(batches, "text", 1 << 19):
             score = np.zeros(batch.num_rows) if net is None else net.scores(*features(batch.column("text")))
             names = ["_row", "text"] if with_text else ["_row"]
             yield pa.RecordBatch.from_arrays([*map(batch.column, names), pa.array(score)], names=[*names, "score"])
+        give_back()
 
     return packed.mapInArrow(run, schema)
 
