@@ -71,21 +71,31 @@ def walk_forward_logistic(spark, sf):
     return out(L.oof_losses(reduce(DataFrame.unionByName, oof)))
 
 
+def _boosted(spark, sf):
+    """Out-of-fold rows of every boosted setting over all folds."""
+
+    def build():
+        dev = _dev(spark, sf)
+        return Stage(spark, "oof").write(L.walk_forward_ensembles(dev, "hist_gb", L.grid("hist_gb"), _seasons(dev), "post_toss"), "hist_gb")
+
+    return _memo(spark, sf, "hist_gb", build)
+
+
 @query("walk_forward_trees")
 def walk_forward_trees(spark, sf):
-    """One fold of each tree family and of the blend, with small ensembles."""
-    dev = _dev(spark, sf).cache()
-    last = [_seasons(dev)[-1]]
-    runs = [
-        ("random_forest", {"min_leaf": 25, "max_features": 0.3, "trees": 20}),
-        ("hist_gb", {"max_depth": 2, "learning_rate": 0.05, "iters": 10}),
-        ("blend", {"C": 0.03, "max_depth": 2, "learning_rate": 0.05, "iters": 10, "weight": 0.5}),
-    ]
-    u = None
-    for name, p in runs:
-        o = L.walk_forward(dev, name, p, last, "post_toss")
-        u = o if u is None else u.unionByName(o)
-    return out(L.oof_losses(u))
+    """Boosting of 150 rounds over its whole grid and all folds, and its blends with the best logistic model."""
+    dev = _dev(spark, sf)
+    boosted = _boosted(spark, sf)
+    linear = [L.walk_forward(dev, "logreg", p, _seasons(dev), "post_toss") for p in L.grid("logreg")]
+    linear = Stage(spark, "oof").write(reduce(DataFrame.unionByName, linear), "logreg-grid")
+    return out(L.oof_losses(boosted.unionByName(L.walk_forward_blend(linear, boosted))))
+
+
+@query("walk_forward_forest")
+def walk_forward_forest(spark, sf):
+    """Forests of 300 trees over their whole grid and all folds."""
+    dev = _dev(spark, sf)
+    return out(L.oof_losses(L.walk_forward_ensembles(dev, "random_forest", L.grid("random_forest"), _seasons(dev), "post_toss")))
 
 
 @query("calibration_comparison")

@@ -6,34 +6,32 @@ import json
 import uuid
 
 from pyspark.errors import AnalysisException
-from pyspark.ml.classification import GBTClassificationModel, LogisticRegressionModel, RandomForestClassificationModel
+from pyspark.ml.classification import LogisticRegressionModel
 from pyspark.ml.regression import IsotonicRegressionModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contestry.operators.learn import Calibrator, Fitted
+from contestry.operators.learn import ENSEMBLES, Calibrator, Fitted
+from contestry.operators.trees import Ensemble
 from contestry.sources.files import check_fingerprint, fingerprint
 
-_LOADERS = {
-    "elo_logit": LogisticRegressionModel, "logreg": LogisticRegressionModel,
-    "random_forest": RandomForestClassificationModel, "hist_gb": GBTClassificationModel,
-}
 
-
-def _save_fitted(m: Fitted, path: str) -> dict:
+def _save_fitted(spark: SparkSession, m: Fitted, path: str) -> dict:
     meta = {"name": m.name, "params": m.params, "columns": m.columns, "tier": m.tier, "scales": m.scales}
     if m.name == "blend":
-        meta["parts"] = [_save_fitted(p, f"{path}/part{i}") for i, p in enumerate(m.parts)]
+        meta["parts"] = [_save_fitted(spark, p, f"{path}/part{i}") for i, p in enumerate(m.parts)]
+    elif m.name in ENSEMBLES:
+        m.model.save(spark, f"{path}/model")
     else:
         m.model.write().overwrite().save(f"{path}/model")
     return meta
 
 
-def _load_fitted(meta: dict, path: str) -> Fitted:
+def _load_fitted(spark: SparkSession, meta: dict, path: str) -> Fitted:
     if meta["name"] == "blend":
-        parts = [_load_fitted(p, f"{path}/part{i}") for i, p in enumerate(meta["parts"])]
+        parts = [_load_fitted(spark, p, f"{path}/part{i}") for i, p in enumerate(meta["parts"])]
         return Fitted("blend", meta["params"], meta["columns"], meta["tier"], None, [], parts)
-    model = _LOADERS[meta["name"]].load(f"{path}/model")
+    model = Ensemble.load(spark, f"{path}/model") if meta["name"] in ENSEMBLES else LogisticRegressionModel.load(f"{path}/model")
     return Fitted(meta["name"], meta["params"], meta["columns"], meta["tier"], model, meta["scales"])
 
 
@@ -41,7 +39,7 @@ def register(spark: SparkSession, base: str, tier: str, model: Fitted, calibrato
     """Save a model with its calibrator; the registry row is written last and holds the content hash."""
     run_id = uuid.uuid4().hex[:12]
     path = f"{base}/runs/{tier}-{run_id}"
-    meta = {"model": _save_fitted(model, path), "calibrator": {"method": calibrator.method, "a": calibrator.a, "b": calibrator.b}}
+    meta = {"model": _save_fitted(spark, model, path), "calibrator": {"method": calibrator.method, "a": calibrator.a, "b": calibrator.b}}
     if calibrator.method == "isotonic":
         calibrator.iso.write().overwrite().save(f"{path}/isotonic")
     row = spark.range(1).select(
@@ -79,7 +77,7 @@ def load_active(spark: SparkSession, base: str, tier: str) -> tuple[Fitted, Cali
     cal = Calibrator(**meta["calibrator"])
     if cal.method == "isotonic":
         cal.iso = IsotonicRegressionModel.load(f"{row.path}/isotonic")
-    return _load_fitted(meta["model"], row.path), cal, active
+    return _load_fitted(spark, meta["model"], row.path), cal, active
 
 
 def log_holdout_access(spark: SparkSession, path: str, tier: str, selection: dict) -> DataFrame:

@@ -49,17 +49,21 @@ def run_tier(features: DataFrame, tier: str, cfg: Config, base: str) -> dict:
     oof, losses = {}, None
     best: dict[str, dict] = {}
 
-    def run(name: str, params: dict, i: int) -> None:
+    def keep(name: str, params: dict, i: int, rows) -> None:
         nonlocal losses
-        o = stage.write(L.walk_forward(dev, name, params, seasons, tier, cfg.seed), f"oof-{name}-{i}")
-        oof[(name, i)] = (params, o)
-        losses = L.oof_losses(o) if losses is None else losses.unionByName(L.oof_losses(o))
+        oof[(name, i)] = (params, rows)
+        losses = L.oof_losses(rows) if losses is None else losses.unionByName(L.oof_losses(rows))
 
     for name in cfg.families:
         if name == "blend":
             continue
+        if name in L.ENSEMBLES:  # all settings grow together
+            rows = stage.write(L.walk_forward_ensembles(dev, name, grids[name], seasons, tier, cfg.seed), f"oof-{name}")
+            for i, params in enumerate(grids[name]):
+                keep(name, params, i, rows.where(F.col("params") == L.label(params)))
+            continue
         for i, params in enumerate(grids[name]):
-            run(name, params, i)
+            keep(name, params, i, stage.write(L.walk_forward(dev, name, params, seasons, tier, cfg.seed), f"oof-{name}-{i}"))
 
     def choose_best() -> None:
         rows = EV.cv_summary(losses, ("model", "params")).collect()  # one row per configuration
@@ -70,8 +74,10 @@ def run_tier(features: DataFrame, tier: str, cfg: Config, base: str) -> dict:
 
     choose_best()
     if "blend" in cfg.families and {"logreg", "hist_gb"} <= set(best):
-        for i, w in enumerate((0.25, 0.5, 0.75)):
-            run("blend", {**best["hist_gb"]["params"], **best["logreg"]["params"], "weight": w}, i)
+        sides = [oof[best[n]["key"]][1] for n in ("logreg", "hist_gb")]
+        for i, w in enumerate(L.BLEND_WEIGHTS):
+            params = {**best["hist_gb"]["params"], **best["logreg"]["params"], "weight": w}
+            keep("blend", params, i, stage.write(L.blended(*sides, params), f"oof-blend-{i}"))
         choose_best()
     summary = spark.createDataFrame([(n, b["mean"], b["std"], b["se"]) for n, b in best.items()], ["model", "mean", "std", "se"])
     choice = EV.select_one_se(summary, L.COMPLEXITY)
