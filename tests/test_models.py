@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from contestry.operators import elo as E
 from contestry.operators import learn as L
 from contestry.operators import registry as RG
 from contestry.operators import scoring as SC
@@ -113,3 +114,13 @@ def test_affine_permutations_are_permutations(n):
     for _ in range(20):
         a, b = L._affine(n, draw)
         assert sorted((a * i + b) % n for i in range(1, n + 1)) == list(range(n))
+
+
+def test_rating_search_matches_single_solutions(spark, sf, tables):
+    """Losses of a few settings out of one solution equal those of the settings solved one by one."""
+    m = tables["matches"]
+    params = [E.EloParams(k=32, home_bonus=0, season_regression=0.0, use_margin=False), E.EloParams(early_season_k_boost=0.5)]
+    got = {r.cand: r.mean_log_loss for r in L.tune_ratings(m, params, S.FIRST_VALID, S.DEV_LAST).collect()}
+    ratings, games = E.solve(m, params)
+    want = {r.cand: r.mean_log_loss for r in L.score_candidates(L.rating_candidates(m, games, ratings), S.FIRST_VALID, S.DEV_LAST).collect()}
+    assert got == pytest.approx(want, abs=1e-7) and len(got) == 2
