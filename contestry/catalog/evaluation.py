@@ -17,7 +17,7 @@ from contestry.operators.records import count_if, count_rows, holm, rate_table
 from contestry.sources import contests as S
 
 Q, SQL = {}, {}
-RESAMPLES = 200
+RESAMPLES, PAIRED = 2000, 10000
 
 
 def query(name: str, text: str | None = None):
@@ -123,7 +123,7 @@ def too_good_check(spark, sf):
 _T = [sum(exp(-1) / factorial(i) for i in range(k + 1)) for k in range(13)]
 _U = "(('0x' || substr(md5('42|' || b || '|' || match_id), 1, 8))::BIGINT/4294967296.0e0)"
 WEIGHTS = f"""
-wt AS MATERIALIZED (SELECT * FROM (SELECT *, {'+'.join(f'CAST(u >= {t!r} AS INT)' for t in _T)} AS w
+wt AS NOT MATERIALIZED (SELECT * FROM (SELECT *, {'+'.join(f'CAST(u >= {t!r} AS INT)' for t in _T)} AS w
        FROM (SELECT match_id, y, p, p_ref, b, {_U} AS u FROM pr, range(0, {RESAMPLES}) AS t(b))) WHERE w > 0)"""
 
 
@@ -150,11 +150,11 @@ def bootstrap_ci(spark, sf):
         f"""SELECT (SELECT {q6(f"avg(({LL.format('p')})-({LL.format('p_ref')}))")} FROM pr) AS diff, {q6('quantile_cont(v,0.025)')} AS ci_low,
         {q6('quantile_cont(v,0.975)')} AS ci_high, {q6('avg(CASE WHEN v>=0 THEN 1.0e0 ELSE 0 END)')} AS p_not_better
         FROM (SELECT b, sum(w*(({LL.format('p')})-({LL.format('p_ref')})))/sum(w) AS v FROM wt GROUP BY b)""",
-        WEIGHTS,
+        WEIGHTS.replace(f"range(0, {RESAMPLES})", f"range(0, {PAIRED})"),
     ),
 )
 def paired_bootstrap(spark, sf):
-    return out(E.paired_bootstrap(forecasts(spark, sf), "match_id", "y", "p", "p_ref", RESAMPLES))
+    return out(E.paired_bootstrap(forecasts(spark, sf), "match_id", "y", "p", "p_ref", PAIRED))
 
 
 @query(
