@@ -281,14 +281,13 @@ def feature_drift(spark, sf):
 # -- closed-form statistics over given aggregates ---------------------------------------------
 
 _lo, _hi = wilson_sql("s", "n")
-_PER_TEAM = "SELECT team1 AS team, count(*) FILTER (winner=team1) AS s, count(*) FILTER (is_decided) AS n FROM m GROUP BY team1"
+_PER_TEAM = "SELECT team, count(*) FILTER (winner=team) AS s, count(*) FILTER (is_decided) AS n FROM (SELECT unnest([team1, team2]) AS team, winner, is_decided FROM m) GROUP BY team"
 
 
 def _per_team(spark, sf):
-    m = S.matches(spark, sf, stages=False)
-    return m.groupBy(F.col("team1").alias("team")).agg(
-        count_if(F.col("winner") == F.col("team1")).alias("s"), count_if(F.col("is_decided")).alias("n")
-    )
+    """Decided contests of every side, listed first or second, and those it won."""
+    m = S.matches(spark, sf, stages=False).select(F.explode(F.array("team1", "team2")).alias("team"), "winner", "is_decided")
+    return m.groupBy("team").agg(count_if(F.col("winner") == F.col("team")).alias("s"), count_if(F.col("is_decided")).alias("n"))
 
 
 @query(
