@@ -7,7 +7,7 @@ from math import exp, factorial
 from pyspark.sql import functions as F
 
 from contestry.catalog.base import POTM, SQUADS, binom_half_sql, div, out, q6, t_p_sql, wilson_sql, sql
-from contestry.catalog.features import PF_CTES, PF_SQUAD, SQUAD, fsql
+from contestry.catalog.features import ELO, PF_CTES, PF_SQUAD, SQUAD, fsql
 from contestry.functions import stats as ST
 from contestry.functions import tails as TL
 from contestry.operators import asof as A
@@ -196,26 +196,30 @@ def dev_holdout_split(spark, sf):
     return out(both.groupBy("part").agg(count_rows().alias("n"), F.sum("a_wins").cast("long").alias("wins")))
 
 
-_BASE = ("B0_constant", "B1_chase_prior", "B2_toss_winner", "B4_venue_chase")
+# Ratings of both sides before a contest, seen from side a.
+RATED = """
+el AS (SELECT m.match_id AS el_id, CASE WHEN flip THEN b.pre-a.pre ELSE a.pre-b.pre END AS elo_diff FROM m JOIN coin ON coin.match_id = m.match_id
+       JOIN days ON days.day=m.day JOIN elo a ON a.league=m.league AND a.t=days.t AND a.team=team1 JOIN elo b ON b.league=m.league AND b.t=days.t AND b.team=team2)"""
+_BASE = ("B0_constant", "B1_chase_prior", "B2_toss_winner", "B3_elo", "B4_venue_chase")
 BASELINES = """
 rt AS (SELECT fold, avg(CASE WHEN a_bats_first<0 THEN a_wins ELSE 1-a_wins END) AS ch, avg(CASE WHEN a_won_toss>0 THEN a_wins ELSE 1-a_wins END) AS ts
        FROM fd JOIN pf ON pf.season_year = fd.season_year WHERE fd.season_year < fold AND is_decided GROUP BY fold),
 bl AS (SELECT pf.season_year AS fold, a_wins AS y, 0.5e0 AS B0_constant, CASE WHEN a_bats_first<0 THEN ch ELSE 1-ch END AS B1_chase_prior,
-         CASE WHEN a_won_toss>0 THEN ts ELSE 1-ts END AS B2_toss_winner,
+         CASE WHEN a_won_toss>0 THEN ts ELSE 1-ts END AS B2_toss_winner, 1/(1+pow(10.0e0, -(elo_diff+30*home_diff)/400.0e0)) AS B3_elo,
          CASE WHEN a_bats_first>0 THEN venue_bat_first_rate ELSE 1-venue_bat_first_rate END AS B4_venue_chase
-       FROM pf JOIN rt ON rt.fold = pf.season_year WHERE is_decided),
+       FROM pf JOIN rt ON rt.fold = pf.season_year JOIN el ON el_id = pf.match_id WHERE is_decided),
 lo AS (""" + " UNION ALL ".join(
     f"SELECT '{b}' AS model, fold, count(*) AS n, avg({LL.format(b)}) AS log_loss FROM bl GROUP BY fold" for b in _BASE
 ) + ")"
 
 
 def _baseline_losses(spark, sf):
-    f = S.stored_features(spark, sf).where("is_decided")
+    f = S.stored_rated_features(spark, sf).where("is_decided")
     fold_table = E.folds(f, S.FIRST_VALID, S.DEV_LAST)
     return E.fold_losses(E.baselines(f, fold_table), _BASE)
 
 
-@query("baseline_fold_losses", fsql(f"SELECT model, fold, n, {q6('log_loss')} AS log_loss FROM lo", *PF_CTES, FOLDS, BASELINES))
+@query("baseline_fold_losses", fsql(f"SELECT model, fold, n, {q6('log_loss')} AS log_loss FROM lo", *PF_CTES, FOLDS, ELO, RATED, BASELINES))
 def baseline_fold_losses(spark, sf):
     return out(_baseline_losses(spark, sf))
 
@@ -225,7 +229,7 @@ _CV = "cv AS (SELECT model, avg(log_loss) AS mean, stddev_samp(log_loss) AS std,
 
 @query(
     "cross_validation_summary",
-    fsql(f"SELECT model, {q6('mean')} AS mean, {q6('std')} AS std, {q6('se')} AS se FROM cv", *PF_CTES, FOLDS, BASELINES, _CV),
+    fsql(f"SELECT model, {q6('mean')} AS mean, {q6('std')} AS std, {q6('se')} AS se FROM cv", *PF_CTES, FOLDS, ELO, RATED, BASELINES, _CV),
 )
 def cross_validation_summary(spark, sf):
     return out(E.cv_summary(_baseline_losses(spark, sf)))
@@ -236,7 +240,7 @@ def cross_validation_summary(spark, sf):
     fsql(
         f"""SELECT (SELECT model FROM cv WHERE mean <= b.mean+b.se ORDER BY model LIMIT 1) AS chosen, b.model AS best_by_mean,
         {q6('(b.mean+b.se)')} AS threshold FROM (SELECT * FROM cv ORDER BY mean LIMIT 1) b""",
-        *PF_CTES, FOLDS, BASELINES, _CV,
+        *PF_CTES, FOLDS, ELO, RATED, BASELINES, _CV,
     ),
 )
 def one_standard_error_choice(spark, sf):
@@ -245,13 +249,14 @@ def one_standard_error_choice(spark, sf):
 
 # -- drift ------------------------------------------------------------------------------------
 
-_DRIFT = [c for c in A.feature_names("post_toss") if c != "elo_diff"]
+_DRIFT = A.feature_names("post_toss")
+_DIGITS = {"elo_diff": 4}  # ratings are solved to a tolerance
 
 
 def _drift_sql() -> str:
     parts = []
     for c in _DRIFT:
-        parts.append(f"SELECT '{c}' AS feature, season_year, round(CAST({c} AS DOUBLE), 9) AS v FROM ps WHERE is_decided")
+        parts.append(f"SELECT '{c}' AS feature, season_year, round(CAST({c} AS DOUBLE), {_DIGITS.get(c, 9)}) AS v FROM ps JOIN el ON el_id = match_id WHERE is_decided")
     return " UNION ALL ".join(parts)
 
 
@@ -264,7 +269,7 @@ def _drift_sql() -> str:
               SELECT l.feature, len(list_filter(edges[2:len(edges)-1], lambda z: z <= v)) AS bin, len(edges) AS k, r, c, nr, nc,
                      CASE WHEN len(edges)=1 AND c=1 AND abs(v-edges[1]) > 1e-8+1e-5*abs(edges[1]) THEN 1 ELSE 0 END AS away
               FROM lv l JOIN ed ON ed.feature = l.feature JOIN tt ON tt.feature = l.feature) GROUP BY feature, bin) GROUP BY feature)""",
-        *PF_CTES, POTM, SQUADS, SQUAD, PF_SQUAD,
+        *PF_CTES, POTM, SQUADS, SQUAD, PF_SQUAD, ELO, RATED,
         f"""lv AS (SELECT feature, v, CAST(season_year <= {S.DEV_LAST} AS INT) AS r, CAST(season_year = (SELECT max(season_year) FROM m WHERE is_decided) AS INT) AS c
               FROM ({_drift_sql()}) WHERE v IS NOT NULL),
         ed AS (SELECT feature, list_sort(list_distinct(quantile_cont(v, [{', '.join(str(i / 10) for i in range(11))}]))) AS edges FROM lv WHERE r=1 GROUP BY feature),
@@ -272,7 +277,7 @@ def _drift_sql() -> str:
     ),
 )
 def feature_drift(spark, sf):
-    f = S.stored_features(spark, sf).where("is_decided").select("season_year", *[F.round(c, 9).alias(c) for c in _DRIFT])
+    f = S.stored_rated_features(spark, sf).where("is_decided").select("season_year", *[F.round(c, _DIGITS.get(c, 9)).alias(c) for c in _DRIFT])
     latest = f.agg(F.max("season_year")).scalar()
     f = f.withColumn("_latest", latest)
     return out(E.drift_report(f, _DRIFT, F.col("season_year") <= S.DEV_LAST, F.col("season_year") == F.col("_latest")))

@@ -389,16 +389,28 @@ def scenario_tornado(spark, sf):
     return out(SC.tornado(_scenarios(spark, sf).withColumn("p_a", h)), "base_id", "scenario", "delta", "position")
 
 
-_TEN = list(range(1, 11))
+_ACTIVE = """
+ac AS (SELECT league, team AS opp FROM (SELECT league, team, max(season_year) AS last, max(max(season_year)) OVER (PARTITION BY league) AS latest
+         FROM long WHERE NOT voided GROUP BY league, team) WHERE last = latest)"""
 
 
 @query(
     "opponent_scenarios",
-    sql(f"SELECT request_id AS base_id, 'vs ' || o AS scenario, o AS team_b FROM rc, (SELECT CAST(unnest({_TEN}) AS BIGINT) AS o) WHERE reasons = '' AND o NOT IN (team_a, team_b)", REQ),
-)
+    sql(
+        """SELECT request_id AS base_id, count(*) AS scenarios, CAST(sum(opp) AS BIGINT) AS sides, min('vs ' || opp) AS first_label, max('vs ' || opp) AS last_label
+        FROM rc JOIN ac USING (league) WHERE reasons = '' AND opp NOT IN (team_a, team_b) GROUP BY request_id""",
+        LONG, REQ, _ACTIVE,
+    ),
+)
 def opponent_scenarios(spark, sf):
+    """Every valid request against every active side of its league, summed up a request (the scenarios are requests times sides)."""
     ok = checked_requests(spark, sf).where("size(reasons) = 0")
-    return out(SC.opponent_scenarios(ok, _TEN), "base_id", "scenario", "team_b")
+    x = SC.opponent_scenarios(ok, SC.active_sides(S.matches(spark, sf, stages=False)))
+    return out(
+        x.groupBy("base_id").agg(
+            R.count_rows().alias("scenarios"), F.sum("team_b").alias("sides"), F.min("scenario").alias("first_label"), F.max("scenario").alias("last_label")
+        )
+    )
 
 
 @query("model_registry")

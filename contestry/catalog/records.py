@@ -147,18 +147,11 @@ def head_to_head(spark, sf):
 
 @query(
     "head_to_head_matrix",
-    sql(
-        "SELECT team, "
-        + ", ".join(f"{q6(f'max(CASE WHEN opponent={i} THEN wins*1.0e0/meetings END)')} AS vs_{i}" for i in range(1, 11))
-        + " FROM h2h WHERE opponent BETWEEN 1 AND 10 AND meetings >= 2 GROUP BY team",
-        LONG, _H2H,
-    ),
-)
+    sql(f"SELECT team, opponent, {q6('(CASE WHEN meetings >= 2 THEN wins*1.0e0/meetings END)')} AS win_pct FROM h2h", LONG, _H2H),
+)
 def head_to_head_matrix(spark, sf):
-    cols = list(range(1, 11))
-    p = R.head_to_head_matrix(S.matches(spark, sf, stages=False), cols, min_meetings=2)
-    keep = p.select("team", *[F.col(str(i)).alias(f"vs_{i}") for i in cols])
-    return out(keep.where(" OR ".join(f"vs_{i} IS NOT NULL" for i in cols)))
+    """Every cell of the matrix, a row for each ordered pair that met."""
+    return out(R.head_to_head_cells(S.matches(spark, sf, stages=False), min_meetings=2))
 
 
 _HOME = "home AS (SELECT *, CASE WHEN team1_home THEN winner=team1 ELSE winner=team2 END AS hw FROM m WHERE is_decided AND team1_home <> team2_home)"
@@ -537,15 +530,15 @@ def season_rollup(spark, sf):
 @query(
     "squad_size_crosstab",
     sql(
-        "SELECT season_year, " + ", ".join(f"count(*) FILTER (k={i}) AS size_{i}" for i in (1, 2, 3)) + """
+        """SELECT season_year, k AS size, count(*) AS contests
         FROM (SELECT m.match_id, any_value(season_year) AS season_year, count(player) AS k FROM m LEFT JOIN players p
-              ON p.match_id=m.match_id AND p.team=m.team1 GROUP BY m.match_id) GROUP BY season_year""",
+              ON p.match_id=m.match_id AND p.team=m.team1 GROUP BY m.match_id) GROUP BY season_year, k""",
         SQUADS,
     ),
-)
+)
 def squad_size_crosstab(spark, sf):
-    t = T.squad_size_crosstab(S.squads(spark, sf), S.base_contests(spark, sf), [1, 2, 3])
-    return out(t.select("season_year", *[F.col(str(i)).alias(f"size_{i}") for i in (1, 2, 3)]))
+    """Contests of every season and squad size that occurs."""
+    return out(T.squad_size_counts(S.squads(spark, sf), S.base_contests(spark, sf)))
 
 
 @query("stage_value_counts", sql("SELECT stage, count(*) AS rows FROM m GROUP BY stage"))

@@ -115,6 +115,12 @@ def head_to_head_matrix(m: DataFrame, opponents: Sequence, min_meetings: int = 5
     return h.groupBy("team").pivot("opponent", list(opponents)).agg(F.first("win_pct"))
 
 
+def head_to_head_cells(m: DataFrame, min_meetings: int = 5) -> DataFrame:
+    """The whole matrix as (team, opponent, win_pct), a row for every ordered pair that met; the rate is
+    NULL below ``min_meetings``. Its size follows the pairs, so no list of opponents is needed."""
+    return head_to_head(m).select("team", "opponent", F.when(F.col("meetings") >= min_meetings, F.col("win_pct")).alias("win_pct"))
+
+
 def rate_table(df: DataFrame, by: str | Sequence[str], flag: Column) -> DataFrame:
     """successes, n, rate and Wilson interval per key."""
     keys = [by] if isinstance(by, str) else list(by)

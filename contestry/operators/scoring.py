@@ -133,10 +133,17 @@ def expand_scenarios(req: DataFrame, homes: DataFrame, neutral_venue: Column | N
     return x.select("base_id", "s.*")
 
 
-def opponent_scenarios(req: DataFrame, opponents: Sequence) -> DataFrame:
-    """The same side and conditions against other opponents from a given list."""
-    arr = F.array(*[F.lit(o) for o in opponents])
-    x = req.withColumn("opp", F.explode(arr)).where("opp NOT IN (team_a, team_b)")
+def active_sides(m: DataFrame) -> DataFrame:
+    """(league, opp): the sides of each league's latest season, voided contests left out."""
+    per = m.where("NOT voided").select("league", "season_year", F.explode(F.array("team1", "team2")).alias("opp"))
+    per = per.groupBy("league", "opp").agg(F.max("season_year").alias("last"))
+    latest = per.groupBy("league").agg(F.max("last").alias("last"))
+    return per.join(latest, ["league", "last"]).select("league", "opp")
+
+
+def opponent_scenarios(req: DataFrame, sides: DataFrame) -> DataFrame:
+    """The same side and conditions against every other side of the request's league in ``sides`` (league, opp)."""
+    x = req.join(sides, "league").where("opp NOT IN (team_a, team_b)")
     cols = [F.col("opp").alias("team_b") if c == "team_b" else F.col(c) for c in _REQ]
     return x.select(F.col("request_id").alias("base_id"), F.concat(F.lit("vs "), F.col("opp").cast("string")).alias("scenario"), *cols)
 

@@ -235,6 +235,14 @@ def squad_size_crosstab(players: DataFrame, m: DataFrame, sizes: Sequence[int])
     return per.groupBy("season_year").pivot("size", list(sizes)).agg(count_rows()).fillna(0)
 
 
+def squad_size_counts(players: DataFrame, m: DataFrame) -> DataFrame:
+    """(season_year, size, contests): the crosstab in long form, with every first-side squad size that occurs."""
+    first = m.select("match_id", F.col("team1").alias("team"), "season_year")
+    n = players.groupBy("match_id", "team").agg(count_rows().alias("size"))
+    per = first.join(n, ["match_id", "team"], "left").fillna(0, ["size"])
+    return per.groupBy("season_year", "size").agg(count_rows().alias("contests"))
+
+
 def value_counts(df: DataFrame, column: str) -> DataFrame:
     return df.groupBy(column).agg(count_rows().alias("rows"))
 
