@@ -12,6 +12,7 @@ from contestry.functions import stats as ST
 from contestry.functions import tails as TL
 from contestry.operators import asof as A
 from contestry.operators import evaluate as E
+from contestry.operators.isotonic import isotonic_pools
 from contestry.operators.ordering import exact_quantiles
 from contestry.operators.records import count_if, count_rows, holm, rate_table
 from contestry.sources import contests as S
@@ -120,6 +121,31 @@ def too_good_check(spark, sf):
     return out(E.too_good_check(m, max_auc=0.5, max_accuracy=1.0), "season_year", "reasons", "suspicious")
 
 
+@query(
+    "isotonic_calibration",
+    psql(
+        f"""SELECT season_year, lo, hi, weight, {q6('value')} AS value FROM (
+          SELECT season_year, value, min(p) AS lo, max(p) AS hi, sum(w) AS weight FROM (
+            SELECT season_year, p, any_value(w) AS w, max(low) AS value FROM (
+              SELECT season_year, a, b AS p, w, min(mean) OVER (PARTITION BY season_year, a ORDER BY b ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS low
+              FROM (SELECT season_year, x.p AS a, z.p AS b, z.w, (z.cs-x.cs+x.s)/(z.cw-x.cw+x.w) AS mean FROM ip x JOIN ip z USING (season_year) WHERE z.p >= x.p))
+            GROUP BY season_year, p)
+          GROUP BY season_year, value)""",
+        f"""ip AS (SELECT season_year, p, w, s, sum(w) OVER o AS cw, sum(s) OVER o AS cs FROM (
+              SELECT f.season_year, round(pr.p, 3) AS p, count(*)*1.0e0 AS w, sum(y)*1.0e0 AS s
+              FROM pr JOIN (SELECT DISTINCT season_year FROM pr WHERE season_year BETWEEN {S.FIRST_VALID} AND {S.DEV_LAST}) f ON pr.season_year < f.season_year GROUP BY 1, 2)
+            WINDOW o AS (PARTITION BY season_year ORDER BY p))""",
+    ),
+)
+def isotonic_calibration(spark, sf):
+    """Pools of the isotonic fit of every season on the seasons before it; forecasts to three digits."""
+    f = forecasts(spark, sf)
+    seasons = sorted(r[0] for r in f.where(F.col("season_year").between(S.FIRST_VALID, S.DEV_LAST)).select("season_year").distinct().collect())  # short list
+    pools = isotonic_pools(f, [F.col("season_year") < s for s in seasons], digits=3)
+    year = F.get(F.array(*map(F.lit, seasons)), F.col("fit"))
+    return out(pools.select(year.alias("season_year"), "lo", "hi", "weight", "value"))
+
+
 _T = [sum(exp(-1) / factorial(i) for i in range(k + 1)) for k in range(13)]
 _U = "(('0x' || substr(md5('42|' || b || '|' || match_id), 1, 8))::BIGINT/4294967296.0e0)"
 WEIGHTS = f"""

@@ -7,7 +7,6 @@ import uuid
 
 from pyspark.errors import AnalysisException
 from pyspark.ml.classification import LogisticRegressionModel
-from pyspark.ml.regression import IsotonicRegressionModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,7 +40,7 @@ def register(spark: SparkSession, base: str, tier: str, model: Fitted, calibrato
     path = f"{base}/runs/{tier}-{run_id}"
     meta = {"model": _save_fitted(spark, model, path), "calibrator": {"method": calibrator.method, "a": calibrator.a, "b": calibrator.b}}
     if calibrator.method == "isotonic":
-        calibrator.iso.write().overwrite().save(f"{path}/isotonic")
+        spark.createDataFrame(calibrator.knots, "x double, y double").write.mode("overwrite").parquet(f"{path}/isotonic")
     row = spark.range(1).select(
         F.lit(run_id).alias("run_id"), F.lit(tier).alias("tier"), F.lit(model.name).alias("model"), F.lit(path).alias("path"),
         F.lit(json.dumps(meta, sort_keys=True)).alias("meta_json"), F.lit(json.dumps(metrics or {}, sort_keys=True)).alias("metrics_json"),
@@ -76,7 +75,7 @@ def load_active(spark: SparkSession, base: str, tier: str) -> tuple[Fitted, Cali
     meta = json.loads(row.meta_json)
     cal = Calibrator(**meta["calibrator"])
     if cal.method == "isotonic":
-        cal.iso = IsotonicRegressionModel.load(f"{row.path}/isotonic")
+        cal.knots = [tuple(r) for r in spark.read.parquet(f"{row.path}/isotonic").orderBy("x").toLocalIterator()]
     return _load_fitted(spark, meta["model"], row.path), cal, active
 
 
