@@ -241,12 +241,26 @@ def test_lines(spark, docs, empty):
 def test_line_runs_compact_and_find_new_lines(spark):
     index = lines.LineRuns(spark, fanout=2)
     for i in range(4):
-        batch = spark.createDataFrame([(i, h) for h in (1, 10 + i)], "row long, hash long")
-        fresh = {r.hash for r in index.unseen(batch).collect()}
+        batch = spark.createDataFrame([(i, h, -h) for h in (1, 10 + i)], "row long, h1 long, h2 long")
+        fresh = {r.h1 for r in index.unseen(batch).collect()}
         assert fresh == ({1, 10} if not i else {10 + i})
         index.add(batch)
-    assert [len(x) for x in index.levels] == [0, 0, 1]
-    assert {r.hash: r.docs for r in index.merged().collect()} == {1: 4, 10: 1, 11: 1, 12: 1, 13: 1}
+    assert [len(x) for x in index.levels] == [0, 0, 1] and [len(x) for x in index.deltas] == [1, 1]
+    assert {r.h1: r.docs for r in index.merged().collect()} == {1: 4, 10: 1, 11: 1, 12: 1, 13: 1}
+    # A key has one run; runs are sorted in their buckets and joined there without a shuffle.
+    assert sorted(r.h1 for run in index.runs() for r in run.collect()) == [1, 10, 11, 12, 13]
+    plan = index.unseen(index.runs()[0])._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan
+    index.close()
+
+
+def test_lines_in_many_batches(spark):
+    own = [(i, f"top\n{'hot' if i % 3 else 'warm'}\nline {i % 40}\nown {i}") for i in range(300)]
+    table = spark.createDataFrame(own + own[:5] + [(None, None), (-1, "")], "doc_id long, text string")
+    want = sorted(map(repr, lines.drop_lines(spark, table, batches=1).collect()))
+    assert sorted(map(repr, lines.drop_lines(spark, table, batches=9, fanout=2).collect())) == want and len(want) == 307
+    got = {r.doc_id: r for r in lines.drop_lines(spark, table, batches=9, fanout=3, with_text=True).collect()}
+    assert got[1].n_dropped == 2 and got[1].kept_text == "line 1\nown 1" and got[None].n_dropped == 0
 
 
 def test_fingerprints(spark, docs, empty):
