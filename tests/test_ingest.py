@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from contestry.operators import append as AP
 from contestry.operators import store as ST
 from contestry.operators import validate as V
+from contestry.operators import versions as VN
 from contestry.plans import canonical as P
 from contestry.sources import files as FI
 from contestry.streaming.append import append_stream
@@ -148,6 +149,60 @@ def test_append_flow(spark, tmp_path):
     assert done.applied and done.rows_duplicate == 1 and AP.read_current(spark, base).count() == 2
 
 
+def test_two_writers_lose_no_rows(spark, tmp_path):
+    """A second writer that publishes between the first one's dedupe and commit: both sets are stored, once."""
+    base = str(tmp_path / "store")
+    AP.publish(spark, frame(spark, [{}]), base)
+    seen = VN.snapshot(spark, base)
+    days = lambda *d: frame(spark, [{"date": f"{i:02d}-04-2020"} for i in d])
+    other = lambda attempt: attempt == 0 and AP.process_append(spark, base, days(2, 3), dry_run=False)
+    done = AP.process_append(spark, base, days(3, 4), dry_run=False, before_commit=other)
+    assert (done.rows_new, done.rows_duplicate, done.version) == (1, 1, 3)
+    assert sorted(r.date[:2] for r in AP.read_current(spark, base).collect()) == ["01", "02", "03", "04"]
+    with pytest.raises(VN.Conflict):
+        AP.publish(spark, days(9), base, seen)
+    assert AP.current_version(spark, base)[0] == 3 and len(list((tmp_path / "store/rows").iterdir())) == 3
+
+
+def test_compaction_keeps_rows_and_appends(spark, tmp_path, monkeypatch):
+    base = str(tmp_path / "store")
+    for d in (1, 2, 3):
+        AP.publish(spark, frame(spark, [{"date": f"0{d}-04-202{d}", "season": f"202{d}/2{d + 1}"}]), base)
+    write, late = VN.write_rows, frame(spark, [{"date": "09-04-2020"}])
+
+    def meanwhile(df, *args):
+        folder = write(df, *args)
+        if late is not None and len(VN.snapshot(spark, base).folders) == 3:
+            monkeypatch.setattr(VN, "write_rows", write)
+            AP.publish(spark, late, base)
+        return folder
+
+    monkeypatch.setattr(VN, "write_rows", meanwhile)
+    at = VN.compact(spark, base)
+    assert (at.version, len(at.folders)) == (5, 2)
+    rows = AP.read_current(spark, base)
+    assert sorted(r.date for r in rows.collect()) == ["01-04-2021", "02-04-2022", "03-04-2023", "09-04-2020"]
+    assert {r.season for r in rows.collect()} == {"2021/22", "2022/23", "2023/24", "2020"} and rows.columns == list(V.RAW_COLUMNS)
+    assert AP.read_current(spark, base, VN.snapshot(spark, base, 2)).count() == 2
+    assert VN.vacuum(spark, base) == 0 and VN.vacuum(spark, base, keep=1) == 3 and AP.read_current(spark, base).count() == 4
+    assert [r.action for r in VN.history(spark, base).collect()] == ["compact"]
+
+
+def test_dedupe_reads_only_the_years_of_the_upload(spark, tmp_path):
+    base = str(tmp_path / "store")
+    AP.publish(spark, frame(spark, [{"date": "01-04-2020"}, {"date": "01-04-2021", "season": "2021"}]), base)
+    up = frame(spark, [{"date": "01-04-2021"}])  # same contest under another season's label
+    rows = AP._stored(spark, base, VN.snapshot(spark, base), up, AP.YEAR, ["2021"])
+    files = {f.split("_year=")[1][:4] for f in rows.inputFiles()}
+    assert rows.count() == 1 and AP.process_append(spark, base, up).rows_new == 0
+    assert "PartitionFilters" in rows._jdf.queryExecution().toString() and files >= {"2021"}
+
+
+def test_first_row_of_a_repeated_key(spark):
+    up = spark.createDataFrame([("d", "a", "b", "late", 2), ("d", "b", "a", "first", 1)], "date string, team1 string, team2 string, v string, at int")
+    assert [r.v for r in AP.new_rows(up.limit(0), up, order="at").collect()] == ["first"]
+
+
 def test_append_stream(spark, tmp_path):
     base, inbox = str(tmp_path / "store"), tmp_path / "inbox"
     for part, rows in (("a", [{}, {"date": "02-04-2020"}]), ("b", [{}, {"date": "03-04-2020"}, FAULTS[0][0]])):
