@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import functions as F
 
 from contestry.catalog.base import LONG, POTM, SQUADS, out, q6, sql
@@ -11,6 +13,7 @@ from contestry.operators import cleaning as C
 from contestry.operators import store as ST
 from contestry.operators import trends as T
 from contestry.operators import validate as V
+from contestry.operators import versions as VN
 from contestry.operators.ordering import dense_sequence
 from contestry.plans import canonical as P
 from contestry.sources import contests as S
@@ -170,7 +173,7 @@ def _clean(spark, sf):
         {q6("CASE WHEN result_type='tie' THEN f_tied ELSE first_innings_runs END")} AS first_innings_runs,
         {q6("CASE WHEN result_type='tie' THEN f_tied ELSE second_innings_runs END")} AS second_innings_runs,
         CASE WHEN result_type='tie' THEN f_so END AS super_over_winner, CAST(f_vd AS BIGINT) AS voided, CAST(dls_heuristic OR f_dls AS BIGINT) AS dls_flag, st2 AS stage,
-        max(CASE WHEN st2='final' THEN winner END) OVER (PARTITION BY league, season_year) AS season_champion
+        max(CASE WHEN st2='final' THEN winner END) OVER (PARTITION BY league, season_year) AS season_champion, CAST(season_year = 1996 AS BIGINT) AS neutral_season
         FROM (SELECT *, CASE WHEN is_playoff THEN list_extract(['qualifier_1','eliminator','qualifier_2','final'],
                 CAST(row_number() OVER (PARTITION BY league, season_year, is_playoff ORDER BY date, new_id) AS INT)) ELSE 'league' END AS st2 FROM cl)""",
         CHECKED, FACTS, CLEANED,
@@ -180,7 +183,7 @@ def canonicalised_from_text(spark, sf):
     return out(
         _clean(spark, sf), "match_id", "source_id", "season_year", "team1", "team2", "toss_winner", "winner", "venue_id", "venue", "city",
         "bat_first", "margin_type", "margin_value", "first_innings_runs", "second_innings_runs", "super_over_winner", "voided",
-        "dls_flag", "stage", "season_champion",
+        "dls_flag", "stage", "season_champion", "neutral_season",
     )
 
 
@@ -196,7 +199,9 @@ def canonicalised_from_text(spark, sf):
                 "no_result_scores_excluded": "result_type='no result' OR f_vd", "dls_flag_heuristic": "dls_heuristic",
                 "dls_flag_external": "f_dls", "dls_flag_total": "dls_heuristic OR f_dls", "stage_derived_playoff": "is_playoff",
             }.items()
-        ),
+        )
+        + " UNION ALL SELECT 'team_alias_canonicalised', CAST(coalesce(sum(CAST(season_year <= 1997 AND team1 % 3 = 0 AS INT) + CAST(season_year <= 1997 AND team2 % 3 = 0 AS INT)), 0) AS BIGINT) FROM cl"
+        " UNION ALL SELECT 'player_lists_parsed', 2 * count(*) FROM cl",
         CHECKED, FACTS, CLEANED,
     ),
 )
@@ -204,6 +209,20 @@ def fix_counts(spark, sf):
     return out(P.fixes(_clean(spark, sf)))
 
 
+@query(
+    "fact_list_notes",
+    sql(
+        """SELECT 'n_matches' AS note, count(*) AS rows FROM cl UNION ALL SELECT 'n_decided', count(*) FILTER (is_decided) FROM cl
+        UNION ALL SELECT 'super_over_records_unmatched', (SELECT count(*) FROM m WHERE result_type = 'tie') - count(*) FILTER (result_type = 'tie') FROM cl
+        UNION ALL SELECT 'dls_external_unmatched', (SELECT count(*) FROM (SELECT DISTINCT date_raw, least(team1, team2), greatest(team1, team2) FROM m WHERE match_id % 97 = 0)) - count(*) FILTER (f_dls) FROM cl""",
+        CHECKED, FACTS, CLEANED,
+    ),
+)
+def fact_list_notes(spark, sf):
+    """Contests, and entries of the verified lists that met none of the valid rows."""
+    return out(P.notes(_clean(spark, sf), RT.knowledge(spark, sf), RT.facts(spark, sf)))
+
+
 @query(
     "squads_from_text",
     sql(
@@ -323,6 +342,44 @@ def fact_refresh(spark, sf):
     return out(ST.resolve(named, {**look, "venue": (k.venues, "name", "venue_id")}).withColumnRenamed("venue_id", "venue_id"))
 
 
+_PEOPLE = """
+pd AS (SELECT name, row_number() OVER (ORDER BY name) AS id FROM (
+         SELECT 'P' || p.player AS name FROM players p JOIN cl ON cl.match_id = p.match_id UNION SELECT 'P' || b.player FROM best b JOIN cl ON cl.match_id = b.match_id)),
+od AS (SELECT name, row_number() OVER (ORDER BY name) AS id FROM (SELECT CAST(umpire1 AS VARCHAR) AS name FROM cl UNION SELECT CAST(umpire2 AS VARCHAR) FROM cl))"""
+
+
+def _people(spark, sf):
+    m = Stage(spark, "people").write(_clean(spark, sf), "matches")
+    return ST.refresh_people(m, C.squads_long(m))
+
+
+@query(
+    "fact_people_refresh",
+    sql(
+        """SELECT new_id AS match_id, cl.match_id AS source_id, team1, team2, pd.id AS player_of_match_id, CAST(NULL AS BIGINT) AS match_referee_id,
+        u1.id AS umpire1_id, u2.id AS umpire2_id, CAST(NULL AS BIGINT) AS tv_umpire_id, CAST(NULL AS BIGINT) AS reserve_umpire_id
+        FROM cl LEFT JOIN best b ON b.match_id = cl.match_id LEFT JOIN pd ON pd.name = 'P' || b.player
+        JOIN od u1 ON u1.name = CAST(umpire1 AS VARCHAR) JOIN od u2 ON u2.name = CAST(umpire2 AS VARCHAR)""",
+        CHECKED, FACTS, CLEANED, SQUADS, POTM, _PEOPLE,
+    ),
+)
+def fact_people_refresh(spark, sf):
+    """Contests with the ids of the awarded player and of all five officials."""
+    ids = [f"{c}_id" for c in ("player_of_match", *ST.OFFICIALS)]
+    return out(_people(spark, sf)["contests"], "match_id", "source_id", "team1", "team2", *ids)
+
+
+@query(
+    "squad_refresh",
+    sql(
+        "SELECT cl.new_id AS match_id, p.team, pd.id AS player_id, p.slot_no FROM cl JOIN players p ON p.match_id = cl.match_id JOIN pd ON pd.name = 'P' || p.player",
+        CHECKED, FACTS, CLEANED, SQUADS, POTM, _PEOPLE,
+    ),
+)
+def squad_refresh(spark, sf):
+    return out(_people(spark, sf)["squads"])
+
+
 @query(
     "season_dimension",
     sql(f"SELECT league, season_year, arg_min({_LABEL}, date) AS label, count(*) AS matches, max(season_champion) AS champion FROM m GROUP BY 1, 2"),
@@ -429,3 +486,30 @@ def append_counts(spark, sf):
     upload = upload.select(*cols).unionByName(swapped)
     fresh = AP.new_rows(raw.where("season_year <= 1999").select(*cols), upload)
     return out(AP.append_counts(upload, fresh))
+
+
+_NAMED = "CASE WHEN season_year <= 1997 AND {0} % 3 = 0 THEN 'Old ' || {1}.s_name ELSE {1}.s_name END"
+
+
+@query(
+    "append_two_writers",
+    sql(
+        f"""SELECT DISTINCT date, least(a, b) AS a, greatest(a, b) AS b FROM (
+          SELECT date_raw AS date, {_NAMED.format('team1', 'x')} AS a, {_NAMED.format('team2', 'y')} AS b
+          FROM m JOIN supplier x ON x.s_suppkey = team1 JOIN supplier y ON y.s_suppkey = team2 WHERE is_playoff OR match_id >= 1)"""
+    ),
+)
+def append_two_writers(spark, sf):
+    """The stored contests after two writers append overlapping seasons at the same time, and a compaction."""
+    stage = Stage(spark, "writers")
+    base = f"{stage.root}/store"
+    raw = RT.clean_text(spark, sf).where("NOT coalesce(try_cast(match_number AS double) < 1, false)")
+    raw = stage.write(raw.join(_m(spark, sf).select("match_id", "season_year"), "match_id"), "raw")
+    upload = lambda where: raw.where(where).select(*V.RAW_COLUMNS)
+    put = lambda rows: AP.process_append(spark, base, rows, RT.CONTRACT, dry_run=False)
+    put(upload("season_year <= 1996"))
+    with ThreadPoolExecutor(2) as pool:
+        for job in [pool.submit(put, upload(w)) for w in ("season_year <= 1999", "season_year >= 1997")]:
+            job.result()
+    VN.compact(spark, base)
+    return out(AP.read_current(spark, base).selectExpr("date", "least(team1, team2) AS a", "greatest(team1, team2) AS b"))

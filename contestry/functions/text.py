@@ -6,7 +6,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Texts that stand for a missing value in the raw files.
-NULL_TOKENS = ("", "N/A", "NA", "n/a", "NULL", "null", "None", "NaN", "nan", "<NA>", "#N/A", "#NA")
+NULL_TOKENS = (
+    "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None",
+    "n/a", "nan", "null",
+)
 
 # First characters that a spreadsheet would read as a formula.
 FORMULA_STARTS = ("=", "+", "-", "@", "\t", "\r")

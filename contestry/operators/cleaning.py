@@ -245,6 +245,20 @@ def with_era(m: DataFrame, from_year: int) -> DataFrame:
     return m.withColumn("impact_era", F.col("season_year") >= from_year)
 
 
+def with_neutral(m: DataFrame, neutral: DataFrame) -> DataFrame:
+    """Adds ``neutral_season``: nobody is at home in that season."""
+    n = neutral.select("season_year", F.lit(True).alias("neutral_season")).distinct()
+    return m.join(n, "season_year", "left").withColumn("neutral_season", F.coalesce("neutral_season", F.lit(False)))
+
+
+def with_renamed_sides(m: DataFrame, teams: DataFrame) -> DataFrame:
+    """Adds ``renamed_sides``: how many of the two raw side texts differ from the side's present name."""
+    for i in (1, 2):
+        m = m.join(teams.select(F.col("team_id").alias(f"team{i}"), F.col("name").alias(f"_name{i}")), f"team{i}", "left")
+    renamed = " + ".join(f"CAST(NOT team{i}_raw <=> _name{i} AS int)" for i in (1, 2))
+    return m.withColumn("renamed_sides", F.expr(renamed)).drop("_name1", "_name2")
+
+
 # -- squads -----------------------------------------------------------------------------------
 
 
@@ -271,6 +285,6 @@ def duplicate_players(players: DataFrame) -> DataFrame:
 
 
 def fix_counts(m: DataFrame, fixes: dict[str, Column]) -> DataFrame:
-    """Rows touched by each named correction: one aggregate, then unpivoted."""
-    agg = m.agg(*[F.sum(F.when(c, 1).otherwise(0)).cast("long").alias(name) for name, c in fixes.items()])
+    """Rows (or, for numbers, texts) touched by each named correction: one aggregate, then unpivoted."""
+    agg = m.agg(*[F.coalesce(F.sum(c.cast("long")), F.lit(0)).cast("long").alias(name) for name, c in fixes.items()])
     return agg.unpivot([], list(fixes), "fix", "rows")

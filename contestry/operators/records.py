@@ -40,6 +40,27 @@ def filter_matches(m: DataFrame, season_from=None, season_to=None, team=None, ve
     return m
 
 
+#: Sides of a contest that the explorer shows by name.
+NAMED_SIDES = ("team1", "team2", "toss_winner", "bat_first", "winner")
+# The explorer's columns in order.
+EXPLORER_COLUMNS = (
+    "date", "season_year", "stage", "team1", "team2", "venue", "city", "toss_winner", "toss_decision", "bat_first", "first_innings_runs",
+    "second_innings_runs", "winner", "result_type", "margin_type", "margin_value", "dls_flag", "player_of_match",
+)
+
+
+def explorer(m: DataFrame, names: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """The explorer's columns, with names(team_id, name) for side ids and a readable date; ``keep`` comes first.
+
+    Both sides get their names by a join; toss, batting order and winner are one of the two.
+    """
+    for i in (1, 2):
+        m = m.join(names.select(F.col("team_id").alias(f"team{i}"), F.col("name").alias(f"_name{i}")), f"team{i}", "left")
+    shown = {c: F.when(F.col(c) == F.col("team1"), F.col("_name1")).when(F.col(c) == F.col("team2"), F.col("_name2")) for c in NAMED_SIDES}
+    shown["date"] = F.date_format("date", "dd MMM yyyy")
+    return m.select(*keep, *[shown.get(c, F.col(c)).alias(c) for c in EXPLORER_COLUMNS])
+
+
 def team_long(m: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """Two rows per contest, one per side, from a single scan."""
     usable = "scores_usable AND result_type <> 'tie'"

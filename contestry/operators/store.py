@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from contestry.operators.ordering import dense_sequence
 from contestry.operators.records import count_if, count_rows
+from contestry.session import Stage
 
 
 def upsert(existing: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -37,6 +38,31 @@ def resolve(facts: DataFrame, lookups: dict[str, tuple[DataFrame, str, str]]) ->
     return out.drop(*lookups)
 
 
+# Columns of a contest that name an official.
+OFFICIALS = ("match_referee", "umpire1", "umpire2", "tv_umpire", "reserve_umpire")
+
+
+def person_names(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(name): all texts of the columns, once each."""
+    return df.select(F.explode(F.array(*columns)).alias("name")).where("name IS NOT NULL").distinct()
+
+
+def refresh_people(m: DataFrame, players: DataFrame, known_players: DataFrame | None = None, known_officials: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Person dimensions brought up to date, and contests and squads with ids in place of names.
+
+    Awards and squads share one dimension, the five kinds of officials another. Known names keep their ids.
+    """
+    stage = Stage(m.sparkSession, "people")
+    none = m.sparkSession.createDataFrame([], "name string, id long")
+    names = person_names(players, ["player"]).unionByName(person_names(m, ["player_of_match"]))
+    person = stage.write(ensure_names(none if known_players is None else known_players, names), "players")
+    official = stage.write(ensure_names(none if known_officials is None else known_officials, person_names(m, OFFICIALS)), "officials")
+    return {
+        "players": person, "officials": official, "squads": resolve(players, {"player": (person, "name", "id")}),
+        "contests": resolve(m, {"player_of_match": (person, "name", "id"), **{c: (official, "name", "id") for c in OFFICIALS}}),
+    }
+
+
 def season_dimension(m: DataFrame, keys: Sequence[str] = ("season_year",)) -> DataFrame:
     """Label, contests and champion per season."""
     return m.groupBy(*keys).agg(

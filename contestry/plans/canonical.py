@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from contestry.operators import cleaning as C
 from contestry.operators import trends as T
+from contestry.operators.records import count_if, count_rows
 from contestry.operators.store import check_reference, violations
 from contestry.operators.validate import Contract, rejection_histogram, split, with_reasons
 from contestry.session import Stage
@@ -75,6 +76,7 @@ def clean(valid: DataFrame, k: Knowledge, facts: Facts, era_from: int, season_ke
     m = C.with_season_year(m)
     for c in ("team1", "team2", "toss_winner", "winner"):
         m = C.map_team(m, k.team_alias, f"{c}_raw", c)
+    m = C.with_renamed_sides(m, k.teams)
     m = stage.write(C.map_venue(m, k.venue_alias, k.venues), "mapped")
     m = C.with_innings(C.with_result(C.with_batting_order(m)))
     m = C.with_tie_correction(m, _map_fact_teams(facts.super_overs, k, "team_a", "team_b", "super_over_winner"))
@@ -83,7 +85,7 @@ def clean(valid: DataFrame, k: Knowledge, facts: Facts, era_from: int, season_ke
     m = m.withColumns({"scores_usable": C.scores_usable(), "dls_heuristic": C.dls_heuristic()})
     m = stage.write(m.withColumn("dls_flag", F.expr("dls_heuristic OR dls_external")), "results")
     m = C.with_champion(C.with_stage(m, list(season_keys), special), list(season_keys))
-    m = C.with_home(C.with_era(m, era_from), k.spells, k.neutral)
+    m = C.with_home(C.with_neutral(C.with_era(m, era_from), k.neutral), k.spells, k.neutral)
     return m.withColumns({f"n_players_t{i}": F.size(C.split_names(F.col(f"team{i}_players"))) for i in (1, 2)})
 
 
@@ -97,11 +99,12 @@ class Canonical:
 
 
 def fixes(m: DataFrame) -> DataFrame:
-    """Row counts of every correction."""
+    """Counts of every correction: rows, but for side names and squad lists, of which a row has two."""
     return C.fix_counts(
         m,
-        {
+        {  # Fixed values: names of the counters.
             "season_label_mapped": F.expr("season_raw <> CAST(season_year AS string)"),
+            "team_alias_canonicalised": F.col("renamed_sides"),
             "venue_alias_canonicalised": F.expr("venue_raw <> venue"),
             "city_unknown_imputed": F.expr("city_raw = 'Unknown'"),
             "city_corrected": F.expr("city_raw <> 'Unknown' AND city_raw <> city"),
@@ -112,10 +115,24 @@ def fixes(m: DataFrame) -> DataFrame:
             "dls_flag_external": F.col("dls_external"),
             "dls_flag_total": F.col("dls_flag"),
             "stage_derived_playoff": F.col("is_playoff"),
+            "player_lists_parsed": F.lit(2),
         },
     )
 
 
+def notes(m: DataFrame, k: Knowledge, facts: Facts) -> DataFrame:
+    """(note, rows): contests, decided ones, and entries of the fact lists that met no contest."""
+    dls = _map_fact_teams(facts.dls, k, "team_a", "team_b")
+    keys = dls.select("date_raw", F.least("team_a", "team_b").alias("a"), F.greatest("team_a", "team_b").alias("b")).distinct()
+    n = m.agg(
+        count_rows().alias("n_matches"), count_if(F.col("is_decided")).alias("n_decided"),
+        count_if(F.col("result_type") == "tie").alias("_ties"), count_if(F.col("dls_external")).alias("_dls"),
+    )
+    listed = facts.super_overs.agg(count_rows()).scalar(), keys.agg(count_rows()).scalar()
+    n = n.withColumns({"super_over_records_unmatched": listed[0] - F.col("_ties"), "dls_external_unmatched": listed[1] - F.col("_dls")})
+    return n.drop("_ties", "_dls").unpivot([], ["n_matches", "n_decided", "super_over_records_unmatched", "dls_external_unmatched"], "note", "rows")
+
+
 def build(raw: DataFrame, k: Knowledge, facts: Facts, contract: Contract = Contract(), mode: str = "lenient", era_from: int = 2023, **kw) -> Canonical:
     """Validate and clean. Strict mode raises on the first rejected rows."""
     k.check()

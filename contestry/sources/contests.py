@@ -137,6 +137,7 @@ def matches(spark: SparkSession, sf_dir: str, stages: bool = True) -> DataFrame:
     m = m.withColumns(
         {c: F.expr(tied.format(TIED_SCORE, c)) for c in ("first_innings_runs", "second_innings_runs")}
         | {
+            **{c: F.expr(tied.format("NULL", c)) for c in ("first_innings_wickets", "second_innings_wickets")},
             "super_over_winner": F.expr(tied.format(SUPER_OVER_WINNER, "NULL")),
             "voided": F.expr("result_type = 'no result' AND match_id % 50 = 0"),
             "dls_heuristic": C.dls_heuristic(),
