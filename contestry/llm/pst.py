@@ -10,7 +10,8 @@ constant and gives what that frees to the unknown word. A token is scored by the
 How the work is spread. Texts are cut into blocks of bounded size where they are read; a block is one row of a
 bucketed table and never moves again. What a block must know of the whole corpus it asks for: it sends its
 distinct keys (words, n-grams or contexts) with its own counts to buckets of the key hash, as arrays; a bucket
-sums equal keys and answers every block in the order asked. Each key leaves a block once, however often the
+sums equal keys and answers every block in the order asked. Answers lie in a table bucketed like the blocks, so
+earlier ones are read where they are, and a level's shuffle files go once its answers are written. Each key leaves a block once, however often the
 block holds it, so a frequent word is no hot key; nothing is collected or broadcast but four totals. Level by
 level the blocks ask for word counts, bigram counts, divergences of one-word contexts and trigram counts,
 divergences of two-word contexts, and then score. All of it follows the size of the corpus. Keys go as differences
@@ -38,6 +39,8 @@ DEPTH, MIN_COUNT, DIVERGENCE, STRENGTH = 2, 32, 0.02, 100.0
 #: Text in a block, in bytes.
 BLOCK = 16 << 20
 FOLDS, HELD = 7, 2
+#: Spark's setting that removes a query's shuffle files at its end.
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 END = np.uint64(0)
 _U = np.uint64
 
@@ -223,27 +226,32 @@ def score(
     remainder = F.pmod(F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")), F.lit(FOLDS))
     texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"), (remainder != HELD).alias("train"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    name = f"pst_blocks_{uuid.uuid4().hex}"
-    # A block is one row, so a task writes as many files as it made blocks.
-    cut = texts.mapInArrow(_cut, BLOCKS)
-    cut.write.option("path", f"{stage.root}/blocks").option("compression", "zstd").bucketBy(parts, "block").format("parquet").saveAsTable(name)
+    name, answers = (f"pst_{what}_{uuid.uuid4().hex}" for what in ("blocks", "answers"))
+    kept = spark.conf.get(CLEAN_UP, None)
+    spark.conf.set(CLEAN_UP, "true")
     try:
+        # A block is one row, so a task writes as many files as it made blocks.
+        cut = texts.mapInArrow(_cut, BLOCKS)
+        cut.write.option("path", f"{stage.root}/blocks").option("compression", "zstd").bucketBy(parts, "block").format("parquet").saveAsTable(name)
         blocks = spark.table(name)
         n_blocks = blocks.select("block").count()
         buckets = max(parts, n_blocks)
-        totals, answers = None, spark.createDataFrame([], ANSWER)
-        settings = (depth, min_count, divergence, strength)
+        totals, settings = None, (depth, min_count, divergence, strength)
         for turn in range(depth + 2):
-            asked = blocks.groupBy("block").cogroup(answers.where("block IS NOT NULL").groupBy("block")).applyInArrow(_asking(buckets, totals, settings), ASK)
-            new = stage.write(asked.groupBy("kind", "bucket").applyInArrow(_summed, ANSWER), f"answers{turn}")
-            answers = answers.unionByName(new) if turn else new
+            had = spark.table(answers) if turn else spark.createDataFrame([], ANSWER)
+            asked = blocks.groupBy("block").cogroup(had.where("block IS NOT NULL").groupBy("block")).applyInArrow(_asking(buckets, totals, settings), ASK)
+            new = asked.groupBy("kind", "bucket").applyInArrow(_summed, ANSWER).repartition(parts, "block")
+            new.write.option("path", f"{stage.root}/answers").mode("append").bucketBy(parts, "block").format("parquet").saveAsTable(answers)
             if totals is None:
-                found = new.where("block IS NULL").agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("total", "known", "once", "twice")]).first()
+                found = spark.table(answers).where("block IS NULL").agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("total", "known", "once", "twice")]).first()
                 totals = tuple(int(x) for x in found)
-        out = blocks.groupBy("block").cogroup(answers.where("block IS NOT NULL").groupBy("block")).applyInArrow(_scoring(buckets, totals, settings), SCORE)
+        had = spark.table(answers).where("block IS NOT NULL")
+        out = blocks.groupBy("block").cogroup(had.groupBy("block")).applyInArrow(_scoring(buckets, totals, settings), SCORE)
         out = stage.write(out, "scores")
     finally:
-        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        for table in (name, answers):
+            spark.sql(f"DROP TABLE IF EXISTS {table}")
+        spark.conf.unset(CLEAN_UP) if kept is None else spark.conf.set(CLEAN_UP, kept)
     return out.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", F.lit(totals[0]).cast("long").alias("train_tokens"), "base_score", "score")
 
 
