@@ -7,8 +7,8 @@ sample depends on w through t only, and t is shared over a range of weights: two
 coordinate exactly when the same word wins at the same t, whose chance is the generalised Jaccard similarity
 (sum of smaller weights by sum of larger ones). So the share of equal coordinates estimates it.
 
-Texts move once: rows are dealt by ranges of doc_id of equal width, and the first row of a range also goes
-to the range before it as a guest, so every row finds its successor in its own partition. Words are counted
+Rows are dealt by sampled ranges of (doc_id, hash of the text) and written; the first row of a range also goes
+to the range before it as a guest, so every row finds its successor in its own partition, however uneven the ids. Words are counted
 inside their row, by a sort of their hashes, and folded to the row's minima without another shuffle.
 
 Null texts count as empty. A text without words has no signature: its likeness is 1 to another such text
@@ -22,10 +22,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from contestry.llm.words import SPACE_CLASS
+from contestry.session import Stage
 
 COORDINATES = 32
-#: Rows in a range of ids on average, and the most ranges there are: their first ids are broadcast.
-RANGE_ROWS, MAX_RANGES = 400, 1 << 16
+#: Ranges of ids for each shuffle partition of the session; the first id of every range is broadcast.
+RANGES = 4
+#: Spark's setting that removes a query's shuffle files at its end.
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 #: A text's smallest sample is exponential with the rate of its total weight: it exceeds this many means
@@ -79,23 +82,23 @@ def as_text(sig: Column) -> Column:
 
 def _ranged(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """Rows (doc_id, h, text, guest, cell): every cell ends with a guest, its last row's successor."""
-    ids = docs.select("doc_id", "h")
-    n, low, high = ids.agg(F.count(F.lit(1)), F.min("doc_id"), F.max("doc_id")).first()
-    ranges = max(1, min(MAX_RANGES, -(-n // RANGE_ROWS)))
-    low, high = low or 0, high or 0
-    width = max(1, -(-(high - low + 1) // ranges))
-    # Null ids come first, in the first cell.
-    cell = lambda i: F.coalesce(F.floor((i - F.lit(low)) / F.lit(width)), F.lit(0)).cast("long")
-    heads = ids.withColumn("cell", cell(F.col("doc_id"))).groupBy("cell").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("i"), "h")).alias("head"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    low = F.lit(-(1 << 63)).cast("long")  # null ids come first
+    # Equal rows may lie in any order, so a draw parts a large group of them.
+    dealt = docs.withColumn("i", F.coalesce("doc_id", low)).repartitionByRange(RANGES * parts, "i", "h", F.rand(7))
+    kept = spark.conf.get(CLEAN_UP, None)
+    spark.conf.set(CLEAN_UP, "true")
+    try:
+        rows = Stage(spark, "fingerprint").write(dealt.withColumn("cell", F.spark_partition_id()), "rows")
+    finally:
+        spark.conf.unset(CLEAN_UP) if kept is None else spark.conf.set(CLEAN_UP, kept)
+    heads = rows.groupBy("cell").agg(F.min(F.struct("i", "h")).alias("head"))
     order = Window.orderBy("cell")  # over the cells' heads only
-    heads = heads.select(
-        F.coalesce(F.lag("cell").over(order), F.max("cell").over(Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("_to"),
-        F.col("head.i").alias("_i"), F.col("head.h").alias("_h"),
-    )
-    guests = docs.join(F.broadcast(heads), (F.coalesce("doc_id", F.lit(-(1 << 63))) == F.col("_i")) & (F.col("h") == F.col("_h")))
-    out = docs.select("*", F.lit(False).alias("guest"), cell(F.col("doc_id")).alias("cell"))
-    out = out.unionByName(guests.select("doc_id", "h", "text", F.lit(True).alias("guest"), F.col("_to").alias("cell")))
-    return out.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "cell")
+    heads = heads.select("cell", "head.i", "head.h", F.lag("cell").over(order).alias("_to"), F.max("cell").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("_last"))
+    guests = rows.join(F.broadcast(heads), ["cell", "i", "h"]).groupBy(F.coalesce("_to", "_last").alias("cell")).agg(F.first("text").alias("text"))
+    guests = guests.select(F.lit(None).cast("long").alias("doc_id"), F.lit(0).cast("long").alias("h"), "text", F.lit(True).alias("guest"), "cell")
+    out = rows.select("doc_id", "h", "text", F.lit(False).alias("guest"), "cell").unionByName(guests)
+    return out.repartition(parts, "cell")
 
 
 def fingerprints(spark: SparkSession, docs: DataFrame, coordinates: int = COORDINATES, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -59,6 +59,41 @@ def test_suffix_tree(spark, docs, empty):
     assert pst.score(spark, empty).count() == 0
 
 
+def test_suffix_tree_scores_against_brute_force(spark, docs):
+    least, divergence, strength = 3, 0.02, 5.0
+    got = {r.doc_id: r.score for r in pst.score(spark, docs, 2, least, divergence, strength).collect()}
+    tokens = {i: [*words(t), None] for i, t in texts(docs).items()}
+    grams = Counter()
+    for i, ws in tokens.items():
+        if zlib.crc32(str(i).encode()) % 7 != 2:
+            grams.update(tuple(ws[j - d : j + 1]) for j in range(len(ws)) for d in range(min(j, 2) + 1))
+    single = {g[0]: n for g, n in grams.items() if len(g) == 1}
+    total, once, twice = sum(single.values()), *(sum(n == k for n in single.values()) for k in (1, 2))
+    cut = once / (once + 2 * twice) if once and twice else 0.5
+    after, kept = {}, set()
+    for g in grams:
+        after.setdefault(g[:-1], []).append(g[-1])
+
+    def p(context, w):
+        if not context:
+            return (single[w] - cut if w in single else cut * len(single)) / total
+        below = p(context[1:], w)
+        return (grams[(*context, w)] + strength * below) / (grams[context] + strength) if context in kept else below
+
+    for d in (1, 2):
+        for c in [c for c in after if len(c) == d and grams[c] >= least and (d == 1 or c[1:] in kept)]:
+            gain = 0.0
+            for w in after[c]:
+                n, below = grams[(*c, w)], p(c[1:], w)
+                gain += n * np.log((n - 1 + strength * below) / (grams[c] + strength - 1) / below)
+            if gain >= divergence * grams[c]:
+                kept.add(c)
+    assert {len(c) for c in kept} == {1, 2}
+    for i, ws in tokens.items():
+        want = sum(np.log10(p(tuple(ws[max(0, j - 2) : j]), w) if tuple(ws[max(0, j - 2) : j]) in kept else p(tuple(ws[max(0, j - 1) : j]), w)) for j, w in enumerate(ws))
+        assert got[i] == pytest.approx(want, abs=1e-6), i
+
+
 def test_suffix_tree_keeps_a_context_in_a_large_corpus(spark):
     """A context seen 40 times is a state beside 800,000 tokens as it is beside 800."""
     ids = [i for i in range(100) if zlib.crc32(str(i).encode()) % pst.FOLDS != pst.HELD]
@@ -280,6 +315,23 @@ def test_fingerprints(spark, docs, empty):
     assert fingerprint.fingerprints(spark, empty).count() == 0
 
 
+def test_fingerprint_ranges_follow_the_rows(spark):
+    """One id far off, null ids and one row repeated often: every row finds its successor, and no range holds most rows."""
+    rows = [(10**15, "far")] + [(i, f"t{i} a b c d") for i in range(2000)] + [(None, f"n{i} x y") for i in range(300)] + [(7, "same one")] * 900
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    got = fingerprint.fingerprints(spark, table)
+    last, first = got.where("doc_id = 1000000000000000").first(), min(f"n{i} x y" for i in range(300))
+    assert got.count() == len(rows) and last.n_chars == 3
+    edits = Counter(r.edited_sha256 for r in got.where("doc_id = 7").collect())
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    assert edits[sha("samesame")] >= 898 and sum(edits.values()) == 901
+    by_id = {r.doc_id: r.edited_sha256 for r in got.where("doc_id BETWEEN 100 AND 1998").collect()}
+    assert all(by_id[i] == sha((t := f"t{i} a b c d")[: len(t) - len(t) // 2] + f"t{i + 1} a b c d"[: len(t) // 2]) for i in by_id)
+    assert last.edited_sha256 in {sha("fa" + f"n{i} x y"[:1]) for i in range(300)} and first
+    cells = fingerprint._ranged(spark, table.selectExpr("doc_id", "xxhash64(text) AS h", "text")).where("NOT guest").groupBy("cell").count()
+    assert max(r["count"] for r in cells.collect()) < len(rows) / 4
+
+
 def test_near_duplicates(spark, docs, empty):
     r = np.random.default_rng(2)
     base = [f"w{i}" for i in range(120)]
