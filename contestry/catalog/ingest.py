@@ -249,15 +249,15 @@ def dense_match_ids(spark, sf):
 @query(
     "unmapped_teams",
     sql(
-        "SELECT DISTINCT CASE WHEN season_year <= 1997 AND team1 % 3 = 0 THEN 'Old ' || s_name ELSE s_name END AS raw, season_year+2 AS year"
-        " FROM m JOIN supplier ON s_suppkey=team1 WHERE season_year <= 1997 AND team1 % 3 = 0 AND season_year+2 > 1997"
+        "SELECT DISTINCT 'Old ' || s_name AS raw, season_year+2 AS year FROM (SELECT season_year, unnest([team1, team2]) AS team FROM m)"
+        " JOIN supplier ON s_suppkey=team WHERE season_year <= 1997 AND team % 3 = 0 AND season_year+2 > 1997"
     ),
 )
 def unmapped_teams(spark, sf):
-    """Aliases two seasons after their use: the expired ones."""
-    t = RT.clean_text(spark, sf).select("match_id", "team1").join(_m(spark, sf).select("match_id", "season_year"), "match_id")
-    t = t.withColumn("season_year", F.col("season_year") + 2)
-    return out(C.unmapped_teams(t, RT.knowledge(spark, sf).team_alias, "team1"))
+    """Aliases of either side two seasons after their use: the expired ones."""
+    t = RT.clean_text(spark, sf).select("match_id", "team1", "team2").join(_m(spark, sf).select("match_id", "season_year"), "match_id")
+    t = t.select((F.col("season_year") + 2).alias("season_year"), F.explode(F.array("team1", "team2")).alias("side"))
+    return out(C.unmapped_teams(t, RT.knowledge(spark, sf).team_alias, "side"))
 
 
 @query(
