@@ -11,7 +11,8 @@ How the work is spread. Texts are cut into blocks of bounded size where they are
 bucketed table and never moves again. What a block must know of the whole corpus it asks for: it sends its
 distinct keys (words, n-grams or contexts) with its own counts to buckets of the key hash, as arrays; a bucket
 sums equal keys and answers every block in the order asked. Answers lie in a table bucketed like the blocks, so
-earlier ones are read where they are, and a level's shuffle files go once its answers are written. Each key leaves a block once, however often the
+earlier ones are read where they are. Spark is asked to remove shuffle files with their query; the disk measured
+has not shown it. Each key leaves a block once, however often the
 block holds it, so a frequent word is no hot key; nothing is collected or broadcast but four totals. Level by
 level the blocks ask for word counts, bigram counts, divergences of one-word contexts and trigram counts,
 divergences of two-word contexts, and then score. All of it follows the size of the corpus. Keys go as differences
